@@ -48,7 +48,7 @@ def write_cube(cube: Cube, path: str, mode: str = "errorifexists", tile: int = 2
     time = cube.ref.time
     view = CubeView(cube.ref).to_json()
     about = {"view": view, "bands": list(cube.bands), "labels": [str(t) for t in time.labels()] if isinstance(time, LabeledTime) else None}
-    put_file(cube.spark, f"{path}/_cube", json.dumps(about).encode())
+    put_file(cube.spark, f"{path}/about.json", json.dumps(about).encode())
 
 
 def place_files(files: DataFrame) -> int:

@@ -82,7 +82,7 @@ def from_frames(frames: list[tuple[str, DataFrame]], ref: CubeRef, bands: list[s
 
 def read_cube(spark: SparkSession, path: str) -> Cube:
     """A cube as ``sinks.write_cube`` wrote it."""
-    text = "\n".join(r[0] for r in spark.read.text(f"{path}/_cube").collect())
+    text = "\n".join(r[0] for r in spark.read.text(f"{path}/about.json").collect())
     about = json.loads(text)
     ref = CubeView.from_json(about["view"]).ref if about["labels"] is None else None
     if ref is None:
