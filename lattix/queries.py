@@ -174,8 +174,8 @@ def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
 for _method, _expr in {"average": "avg(value)", "min": "min(value)", "max": "max(value)", "med": "median(value)", "q1": "quantile_cont(value, 0.25)", "q3": "quantile_cont(value, 0.75)", "mode": "mode(round(value, 12))"}.items():
     if _method != "mode":
         _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E} SELECT CAST(0 AS INT) AS it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round({_expr}, {DIGITS}) AS value FROM e WHERE it = 4 GROUP BY 2, 3")
-_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {E} SELECT CAST(0 AS INT) AS it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE it = 4 AND iy % 2 = 0 AND ix % 2 = 0 AND false")
-del SQL["resample_near"]  # a centre on a pixel's edge belongs to the pixel that starts there; tested on rasters instead
+# the centre of a coarse cell is a corner of four pixels; the one to its lower right starts there
+_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {E} SELECT CAST(0 AS INT) AS it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE it = 4 AND iy % 2 = 1 AND ix % 2 = 1")
 _add("resample_bilinear", lambda s, d: _resampled(s, d, "bilinear"))
 _add("resample_cubic", lambda s, d: _resampled(s, d, "cubic"))
 
