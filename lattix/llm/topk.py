@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,54 +45,96 @@ def integers(embeddings: DataFrame) -> DataFrame:
 
 
 class PivotTable:
-    """Vectors of one dimension with their distances to the pivots."""
+    """Vectors of one dimension with their distances to the pivots.
+
+    Queries go in tiles. Bounds are in single precision with room for its rounding;
+    scores are exact.
+    """
+
+    FIRST, TILE = 256, 64
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
         self.rows, self.ids, self.vectors = rows, ids, vectors
         self.pivots = pivots
         self.square = (vectors.astype(np.float64) ** 2).sum(1)
-        self.table = distances(vectors, pivots)
-
-    def bounds(self, query: np.ndarray, to_pivots: np.ndarray) -> np.ndarray:
-        """Upper bounds on the scores of all vectors, with room for rounding."""
-        low = np.zeros(len(self.ids))
-        for p in range(self.table.shape[1]):
-            np.maximum(low, np.abs(self.table[:, p] - to_pivots[p]), out=low)
-        low = np.maximum(0, low - 1e-6 * (1 + low))
-        return (float((query.astype(np.float64) ** 2).sum()) + self.square - low * low) / 2 + 1e-3 + 1e-9 * self.square
-
-    def top(self, query: np.ndarray, query_row: int, to_pivots: np.ndarray, k: int, floor: float, step: int = 512) -> tuple[list[tuple[int, int]], int]:
-        """The k best (score, id) and how many vectors were evaluated; ``floor`` is a score that k vectors are known to reach."""
-        bound = self.bounds(query, to_pivots)
-        open_ = np.flatnonzero(bound >= floor)
-        order = open_[np.argsort(-bound[open_], kind="stable")]
-        best: list[tuple[int, int]] = []
-        least, done = floor, 0
-        while done < len(order):
-            if bound[order[done]] < least:
-                break
-            some = order[done : done + step]
-            done += len(some)
-            score = dot(self.vectors[some], query)
-            keep = (score >= least) & (self.rows[some] != query_row)
-            best = sorted(best + [(-s, i) for s, i in zip(score[keep].tolist(), self.ids[some][keep].tolist(), strict=True)])[:k]
-            if len(best) == k:
-                least = max(least, -best[-1][0])
-            step = min(4 * step, 1 << 14)
-        return [(-s, i) for s, i in best], done
+        self.table = np.ascontiguousarray(distances(vectors, pivots).T.astype(np.float32))
+
+    def bounds(self, queries: np.ndarray) -> np.ndarray:
+        """Upper bounds on the scores of all vectors for every query."""
+        near = distances(queries, self.pivots).astype(np.float32)
+        square = (queries.astype(np.float64) ** 2).sum(1)
+        out = np.empty((len(queries), len(self.ids)), np.float32)
+        for start in range(0, len(self.ids), 4_096):  # parts that stay in the cache
+            part = slice(start, start + 4_096)
+            low = np.zeros((len(queries), len(self.ids[part])), np.float32)
+            gap = np.empty_like(low)
+            for p, to in enumerate(self.table):
+                np.subtract(to[part][None, :], near[:, p, None], out=gap)
+                np.abs(gap, out=gap)
+                np.maximum(low, gap, out=low)
+            both = (square[:, None] + self.square[None, part]).astype(np.float32)
+            low *= np.float32(1 - 1e-5)
+            low -= np.float32(1e-4) * np.sqrt(both)
+            np.maximum(low, 0, out=low)
+            out[:, part] = (both - low * low) * np.float32(0.5) + both * np.float32(1e-5) + 1
+        return out
+
+    def top(self, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+        """For each query its k best (score, id) and how many vectors were evaluated.
+
+        ``floors`` are scores that k vectors are known to reach. The vectors of the highest
+        bounds come first; their scores raise the floor, and only vectors whose bound
+        reaches it are evaluated then.
+        """
+        out = []
+        for at in range(0, len(queries), self.TILE):
+            out += self._tile(query_rows[at : at + self.TILE], queries[at : at + self.TILE], k, floors[at : at + self.TILE].astype(np.float64))
+        return out
+
+    def _tile(self, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
+        n = len(self.ids)
+        bound = self.bounds(queries)
+        done = np.zeros(len(queries), np.int64)
+        best: list[list[tuple[int, int]]] = [[] for _ in queries]
+
+        def meet(q: int, places: np.ndarray, scores: np.ndarray) -> None:
+            keep = (scores >= floors[q]) & (self.rows[places] != query_rows[q])
+            best[q] = sorted(best[q] + list(zip((-scores[keep]).tolist(), self.ids[places[keep]].tolist(), strict=True)))[:k]
+            if len(best[q]) == k:
+                floors[q] = max(floors[q], -best[q][-1][0])
+
+        if n > 4 * self.FIRST:
+            first = np.argpartition(-bound, self.FIRST, axis=1)[:, : self.FIRST]
+            for q in range(len(queries)):
+                meet(q, first[q], dot(self.vectors[first[q]], queries[q]))
+                bound[q, first[q]] = -np.inf
+                done[q] += self.FIRST
+        open_ = bound >= floors[:, None]
+        columns = np.flatnonzero(open_.any(0))
+        for start in range(0, len(columns), 4_096):
+            some = columns[start : start + 4_096]
+            scores = dot(self.vectors[some], queries.T).T
+            use = open_[:, some]
+            done += use.sum(1)
+            hit = use & (scores >= floors[:, None])
+            for q in np.flatnonzero(hit.any(1)):
+                places = np.flatnonzero(hit[q])
+                meet(q, some[places], scores[q, places])
+        return [([(-s, i) for s, i in b], int(d)) for b, d in zip(best, done, strict=True)]
 
 
 def dot(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: in floating point where no sum can leave its exact range."""
+    """Exact integer inner products (with one query, or queries as columns): in floating point where no sum leaves its exact range."""
     top = float(np.abs(vectors).max(initial=0)) * float(np.abs(query).max(initial=0)) * max(1, len(query))
-    if top < 1 << 52:
-        return (vectors.astype(np.float64) @ query.astype(np.float64)).astype(np.int64)
+    for kind, most in ((np.float32, 1 << 24), (np.float64, 1 << 52)):
+        if top < most:
+            return (vectors.astype(kind) @ query.astype(kind)).astype(np.int64)
     return (vectors.astype(object) @ query.astype(object)).astype(np.int64)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances from the differences themselves, without cancellation."""
-    out = np.empty((len(a), len(b)))
+    out = np.zeros((len(a), len(b)))
     for j in range(len(b)):
         out[:, j] = np.sqrt(((a - b[j]).astype(np.float64) ** 2).sum(1))
     return out
@@ -109,14 +152,22 @@ def choose_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
     return vectors[chosen]
 
 
-def by_dimension(rows: list[tuple[int, int, list[int]]]) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    out: dict[int, list] = {}
-    for r in rows:
-        out.setdefault(len(r[2]), []).append(r)
-    return {d: (np.array([r[0] for r in x], np.int64), np.array([r[1] for r in x], np.int64), np.array([r[2] for r in x], np.int64).reshape(len(x), d)) for d, x in out.items()}
+Vectors = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def by_dimension(rows: pa.Array, ids: pa.Array, vectors: pa.Array) -> dict[int, Vectors]:
+    """Row numbers, ids and vectors as arrays, by the vectors' length."""
+    size = np.asarray(pa.compute.list_value_length(vectors)).astype(np.int64)
+    row, key = np.asarray(rows), np.asarray(ids)
+    flat, ends = np.asarray(vectors.flatten()).astype(np.int64), np.cumsum(size)
+    out = {}
+    for d in np.unique(size).tolist():
+        mine = np.flatnonzero(size == d)
+        out[d] = (row[mine], key[mine], flat[(ends[mine] - d)[:, None] + np.arange(d)[None, :]])
+    return out
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 24, sample: int = 2_000, block_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 16, sample: int = 2_000, block_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
     """The ``k`` best candidates of every row that ``is_query`` marks.
 
     ``sample`` bounds the vectors that are sent to all tasks (pivots are chosen from
@@ -130,7 +181,8 @@ def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 24, sampl
     dealt = F.xxhash64("vec_id", "vector", "row")
     rate = min(1.0, 1.5 * sample / max(1, total))
     picked = vectors.where(F.pmod(F.xxhash64(F.lit(7), "vec_id", "vector", "row"), F.lit(1 << 20)) < int(rate * (1 << 20)) + 1).limit(sample)
-    common = by_dimension([(r["row"], r["vec_id"], r["vector"]) for r in picked.collect()])
+    got = picked.select("row", "vec_id", "vector").toArrow().combine_chunks()
+    common = by_dimension(*(c.combine_chunks() for c in got.columns)) if got.num_rows else {}
     common = {d: (rows, ids, v, choose_pivots(v, pivots)) for d, (rows, ids, v) in common.items()}
     shared = embeddings.sparkSession.sparkContext.broadcast(common)  # at most `sample` vectors and their pivots
 
@@ -139,24 +191,27 @@ def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 24, sampl
     as_query = vectors.where("query").select("row", "vec_id", "vector", F.lit(True).alias("asks"), F.pmod(dealt, F.lit(groups)).cast("int").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asking, having = [], []
-        for batch in batches:
-            for r in batch.to_pylist():
-                (asking if r["asks"] else having).append((r["row"], r["vec_id"], r["vector"]))
+        table = pa.Table.from_batches(list(batches)).combine_chunks()
+        asks = table.column("asks")
+        sides = []
+        for side in (asks, pa.compute.invert(asks)):
+            some = table.filter(side).combine_chunks()
+            sides.append(by_dimension(*(some.column(c).combine_chunks() for c in ("row", "vec_id", "vector"))) if some.num_rows else {})
+        asking, having = sides
         out: list[tuple[int, int, int, int, int]] = []
-        tables = {d: PivotTable(*x, shared.value[d][3] if d in shared.value else x[2][:0]) for d, x in by_dimension(having).items()}
-        for d, (rows, ids, v) in by_dimension(asking).items():
-            if d not in tables:
+        for d, (rows, ids, v) in asking.items():
+            if d not in having:
                 continue
-            near = distances(v, tables[d].pivots)
             known = shared.value.get(d)
-            for i in range(len(rows)):
-                floor = -np.inf
-                if known is not None:
-                    score = dot(known[2], v[i])[known[0] != rows[i]]
-                    if len(score) >= k:
-                        floor = float(np.partition(score, len(score) - k)[len(score) - k])
-                best, done = tables[d].top(v[i], int(rows[i]), near[i], k, floor)
+            pivots_table = PivotTable(*having[d], known[3] if known is not None else v[:0])
+            floors = np.full(len(v), -np.inf)
+            if known is not None:
+                for at in range(0, len(v), 256):
+                    score = dot(known[2], v[at : at + 256].T).T.astype(np.float64)
+                    score[known[0][None, :] == rows[at : at + 256, None]] = -np.inf
+                    if score.shape[1] >= k:
+                        floors[at : at + 256] = np.partition(score, score.shape[1] - k, axis=1)[:, score.shape[1] - k]
+            for i, (best, done) in enumerate(pivots_table.top(rows, v, k, floors)):
                 out += [(int(rows[i]), int(ids[i]), c, s, done) for s, c in best]
         columns = list(zip(*out, strict=True)) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["query_row", "query_id", "vec_id", "score", "evaluated"])
