@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import strings, text_slices
+from .common import strings, text_slices, worker_slot
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -40,7 +40,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks with the test whether two tokens may stand side by side."""
 
-    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 1_000_000):
+    def __init__(self, ranks: dict[bytes, int], most_pairs: int = 400_000):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
         self.longest = max(map(len, ranks), default=1)
@@ -131,7 +131,7 @@ class PrefixTable:
 
 
 class Encoder:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 900_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
         self.most = most
@@ -222,7 +222,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(read_ranks(rank_path), pattern)
+        encoder = worker_slot(("bpe", rank_path, pattern), lambda: Encoder(read_ranks(rank_path), pattern))
         for batch in text_slices(batches, "text"):
             counts, ids, decoded = [], [], []
             for text in strings(batch.column("text")):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -60,6 +62,27 @@ def strings(array: pa.Array) -> list[str]:
     return ["" if x is None else x for x in array.to_pylist()]
 
 
+_slot: list[tuple] = []
+
+
+def worker_slot(key: tuple, make: Callable[[], object]):
+    """What ``make`` gives, kept for later tasks with this key in this Python worker; one key at a time."""
+    if not _slot or _slot[0][0] != key:
+        _slot.clear()
+        tidy()
+        _slot.append((key, make()))
+    return _slot[0][1]
+
+
+def tidy() -> None:
+    """Give freed memory back to the system; workers live on between tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches into slices of about ``most_bytes`` of text; a row is never cut."""
     for batch in batches:
@@ -71,6 +94,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, most_bytes: int
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             if b > a:
                 yield batch.slice(a, b - a)
+    tidy()
 
 
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +123,7 @@ class TokenTable(dict):
     emptied and fills again: a bound on memory, not on what is computed.
     """
 
-    def __init__(self, features: Callable[[list[str]], np.ndarray], width: int, most: int = 600_000):
+    def __init__(self, features: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000):
         super().__init__()
         self.compute, self.most, self.new = features, most, []
         self.rows = np.zeros((0, width), np.float32)

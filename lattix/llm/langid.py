@@ -20,15 +20,16 @@ by one, columns other than id and text are not read, so names cannot clash.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, bounded_sample, filter_texts, segment_sum, strings, text_slices
+from .common import TokenTable, bounded_sample, filter_texts, segment_sum, strings, text_slices, worker_slot
 
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_letter double, phrases_per_letter double"
 NO_LETTER = re.compile(r"[\W\d_]+")
@@ -85,6 +86,10 @@ class LanguageModel:
     table: np.ndarray  # state of all automata, one after another, by character; -1: no move
     roots: np.ndarray
     log_size: np.ndarray
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def worker_table(self) -> TokenTable:
+        return worker_slot(("language", self.key), lambda: TokenTable(self.counts, 1 + len(self.languages)))
 
     def counts(self, tokens: list[str]) -> np.ndarray:
         """Letters and phrases in each language of every token."""
@@ -187,7 +192,7 @@ def identify(docs: DataFrame, model: LanguageModel, held_out: Column) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = TokenTable(m.counts, 1 + len(m.languages), 400_000)
+        table = m.worker_table()
         for batch in text_slices(batches, "text"):
             got = score_texts(m, table, strings(batch.column("text")))
             lang, score, bits, rate = zip(*got, strict=True)
@@ -208,7 +213,7 @@ def keep_known(docs: DataFrame, model: LanguageModel, most_phrases: float = 0.75
 
     def judge():
         m = shared.value
-        table = TokenTable(m.counts, 1 + len(m.languages), 400_000)
+        table = m.worker_table()
         return lambda texts: [rate is not None and rate <= most_phrases for _, _, _, rate in score_texts(m, table, texts)]
 
     return filter_texts(docs, judge)

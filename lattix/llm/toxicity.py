@@ -24,9 +24,10 @@ table gives an empty result; repeated rows repeat; only id and text are read.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import lru_cache
 from itertools import combinations
 
@@ -35,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, filter_texts, strings, text_slices
+from .common import TokenTable, filter_texts, strings, text_slices, worker_slot
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, span string"
 THRESHOLD = 0.7
@@ -156,6 +157,7 @@ class ToxicityModel:
     alpha: np.ndarray  # weights on kernels with the landmarks: w K_mm^(-1/2)
     bias: float
     curve: tuple[float, float] = (0.0, 0.0)
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
 
     def __post_init__(self):
         length = norms(self.strings, self.landmarks)
@@ -178,6 +180,9 @@ class ToxicityModel:
             self.slot_number[k], self.slot_weight[k] = n, total[n]
             self.probes = max(self.probes, tries)
 
+    def worker_table(self) -> TokenTable:
+        return worker_slot(("toxicity", self.key), lambda: TokenTable(self.span_scores, 1))
+
     def margins(self, words: list[str]) -> np.ndarray:
         rows, numbers, weights = self.strings.features(words)
         k = (numbers * 0x9E3779B1 >> 7) & (self.size - 1)
@@ -373,7 +378,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, held_out: Column) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        table = m and TokenTable(m.span_scores, 1)
+        table = m and m.worker_table()
         for batch in text_slices(batches, "text"):
             got, words = score_texts(m, table, strings(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32)), pa.array(words, pa.string())], names=["doc_id", "held_out", "score", "predicted", "span"])
@@ -387,7 +392,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
 
     def judge():
         m = shared.value
-        table = m and TokenTable(m.span_scores, 1)
+        table = m and m.worker_table()
         return lambda texts: (score_texts(m, table, texts)[0] < THRESHOLD).tolist()
 
     return filter_texts(docs, judge)
