@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import strings, text_slices
+from .common import strings, text_slices, worker_slot
 
 BLOCK_SCHEMA = "shard int, block int, n_docs long, n_tokens long, doc_ids binary, known_ids binary, lengths binary, matrix binary"
 SPAN = 512
@@ -172,7 +172,7 @@ class WordEncoder:
 
     SIGNS = ("", ".", ",")
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_bases: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -181,16 +181,13 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.most = most
+        self.most_words, self.most_bases = most_words, most_bases
         self.sign_ids = [self._alone([x])[0] if x else [] for x in self.SIGNS]
-        self.clear()
-
-    def clear(self) -> None:
-        self.words, self.bases = _Numbers(), _Numbers()
-        self.word_ids, self.base_ids = _Pool(), _Pool()
+        self.words, self.word_ids = _Numbers(), _Pool()
+        self.bases, self.base_ids = {}, _Pool()
 
     def _alone(self, words: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _part(self, word: str) -> tuple[str, int]:
         """The base of a word and the number of the sign behind it."""
@@ -198,36 +195,41 @@ class WordEncoder:
         base = (word[:-1] if sign else word).lower()
         return (base, sign) if base.isalpha() and "\u03a3" not in word else (word, 0)
 
-    def _add_bases(self) -> None:
-        new = self.bases.take()
-        for k in range(0, len(new), 400):
-            some = new[k : k + 400]
-            plain = [w for w in some if w.isalpha() and w.isascii() or w.isalpha() and w == w.lower()]
-            together = np.array(self._alone([" ".join(plain)])[0], np.uint32)
+    def _add_bases(self, words: list[str]) -> None:
+        if len(self.bases) > self.most_bases:
+            self.bases, self.base_ids = {}, _Pool()
+        new = [w for w in dict.fromkeys(words) if w not in self.bases]
+        plain = [w for w in new if w.isalpha() and w == w.lower()]
+        rest = [w for w in new if not (w.isalpha() and w == w.lower())]
+        for k in range(0, len(plain), 1_000):
+            some = plain[k : k + 1_000]
+            together = np.array(self._alone([" ".join(some)])[0], np.uint32)
             cut = np.flatnonzero(self.ends_word[together]) + 1
-            if len(cut) == len(plain) and (not len(cut) or cut[-1] == len(together)):
-                got = dict(zip(plain, np.split(together, cut[:-1]), strict=True)) if plain else {}
+            if len(cut) == len(some) and cut[-1] == len(together):
+                self._keep(some, together, np.diff(cut, prepend=0))
             else:
-                got = {}
-            rest = [w for w in some if w not in got]
-            got.update(zip(rest, self._alone(rest), strict=True))
-            lists = [got[w] for w in some]
-            self.base_ids.add(np.concatenate([np.asarray(x, np.uint32) for x in lists]), np.fromiter(map(len, lists), np.int64, len(lists)))
+                rest += some
+        for k in range(0, len(rest), 1_000):
+            lists = self._alone(rest[k : k + 1_000])
+            self._keep(rest[k : k + 1_000], np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists))), np.fromiter(map(len, lists), np.int64, len(lists)))
+
+    def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
+        self.bases.update(zip(words, range(len(self.bases), len(self.bases) + len(words)), strict=True))
+        self.base_ids.add(ids, lengths)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and the count of each."""
-        if len(self.words) > self.most:
-            self.clear()
+        if len(self.words) > self.most_words:
+            self.words, self.word_ids = _Numbers(), _Pool()
         get = self.words.__getitem__
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         counts = np.fromiter(map(len, split), np.int64, len(split))
         at = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
         if new := self.words.take():
-            parts = [self._part(w) for w in new]
-            base = np.fromiter((self.bases[b] for b, _ in parts), np.int64, len(parts))
-            sign = np.fromiter((s for _, s in parts), np.int64, len(parts))
-            self._add_bases()
-            ids, length = self.base_ids.gather(base)
+            bases, signs = zip(*map(self._part, new), strict=True)
+            self._add_bases(bases)
+            sign = np.array(signs)
+            ids, length = self.base_ids.gather(np.fromiter(map(self.bases.__getitem__, bases), np.int64, len(bases)))
             extra = np.array([len(x) for x in self.sign_ids])[sign]
             ends = np.cumsum(length)
             whole = np.insert(ids, np.repeat(ends, extra), [i for s in sign[extra > 0] for i in self.sign_ids[s]]) if extra.any() else ids
@@ -237,6 +239,21 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
+class _Numbers(dict):
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self[word] = place = len(self)
+        self.new.append(word)
+        return place
+
+    def take(self) -> list[str]:
+        new, self.new = self.new, []
+        return new
+
+
 class _Pool:
     """Short id lists one after another."""
 
@@ -277,7 +294,7 @@ class _Numbers(dict):
         return new
 
 
-def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_tokens: int = 2_000_000, shard_rows: int = 8_000) -> None:
+def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_tokens: int = 1_000_000, shard_rows: int = 8_000) -> None:
     """Encode and write all documents. ``shard_rows`` sets how many shards there are, not how long one may be."""
     rows = docs.count()
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -285,7 +302,7 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     ranged = keyed.repartitionByRange(max(1, -(-rows // shard_rows)), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        encoder = worker_slot(("words", tokenizer_path), lambda: WordEncoder(tokenizer_path))
         shard = TaskContext.get().partitionId()
         block, ids, lengths, keys = 0, [], [], []
 
