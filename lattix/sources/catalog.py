@@ -25,6 +25,7 @@ from ..operators.pixel import RangeMask, ValueMask, mask_condition
 from ..ref import CubeRef, CubeView
 from ..timeaxis import Duration, RegularTime, Time, Unit, parse_time
 from .geotiff import read as read_tiff
+from .presets import PRESETS
 from .resample import resample
 
 SCHEMAS = {
@@ -59,7 +60,7 @@ def time_pattern(strptime: str) -> str:
 
 
 def load_format(value: str | dict) -> dict[str, Any]:
-    """Rules as a dictionary, JSON text, a file, or the name of a file on ``LATTIX_FORMATS``."""
+    """Rules as a dictionary, JSON text, a file, the name of a file on ``LATTIX_FORMATS``, or a preset's name."""
     if isinstance(value, dict):
         return value
     if value.lstrip().startswith("{"):
@@ -69,7 +70,9 @@ def load_format(value: str | dict) -> dict[str, Any]:
             if os.path.isfile(path):
                 with open(path, encoding="utf-8") as file:
                     return json.load(file)
-    raise ValueError(f"there is no collection format {value!r}")
+    if value in PRESETS:
+        return PRESETS[value]
+    raise ValueError(f"there is no collection format {value!r}; presets are {', '.join(PRESETS)}")
 
 
 def archive_path(path: str) -> str:

@@ -199,6 +199,20 @@ def test_image_scan(spark, tmp_path, how, corner, other):
     assert np.isnan(a[2]).all()
 
 
+def test_presets(spark):
+    names = ["/d/S2A_MSIL2A_20180510T101031_N0207_R022.SAFE/GRANULE/x/IMG_DATA/R10m/T32_B02_10m.jp2", "/d/S2A_MSIL2A_20180510T101031_N0207_R022.SAFE/GRANULE/x/IMG_DATA/R20m/T32_SCL_20m.jp2", "/d/other.txt"]
+    c = ImageCollection.create(spark.createDataFrame([(n,) for n in names], "descriptor string"), "sentinel2_l2a")
+    row = c.images.first()
+    assert (row["name"], str(row["datetime"])) == ("S2A_MSIL2A_20180510T101031_N0207_R022", "2018-05-10 10:10:31")
+    assert [r["name"] for r in c.available_bands().collect()] == ["B02", "SCL"]
+    bad = spark.createDataFrame([("/d/x.SAFE/IMG_DATA/a.jp2",)], "descriptor string")
+    assert ImageCollection.create(bad, "sentinel2_l1c", strict=False).images.count() == 0
+    with pytest.raises(Exception, match="no image name or time"):
+        ImageCollection.create(bad, "sentinel2_l1c").images.collect()
+    with pytest.raises(ValueError, match="no collection format"):
+        ImageCollection.create(bad, "nope")
+
+
 def test_resampling(spark, tmp_path):
     c = collection(spark, tmp_path)
     fine = CubeRef.create(0, 6, 0, 4, nx=12, ny=8, srs="EPSG:3857", t0="2018-01-01", t1="2018-01-01", dt="P1D")
