@@ -36,11 +36,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TokenTable, filter_texts, strings, text_slices, worker_slot
+from .common import TokenTable, filter_texts, strings, text_slices, tidy, worker_slot
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, span string"
 THRESHOLD = 0.7
 ORDER, SPAN, DECAY, WINDOW, STRIDE = 4, 7, 0.6, 24, 12
+STEMS = range(5, 10)  # lengths of stems, with the anchor
 SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 NO_LETTER = re.compile(r"[\W\d_]+")
 PIECES = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W\d_]{1,3}){3,}[^\W\d_](?![^\W\d_])")
@@ -183,7 +184,12 @@ class ToxicityModel:
     def worker_table(self) -> TokenTable:
         return worker_slot(("toxicity", self.key), lambda: TokenTable(self.span_scores, 1))
 
-    def margins(self, words: list[str]) -> np.ndarray:
+    def margins(self, words: list[str], step: int = 4_000) -> np.ndarray:
+        """The machine's value of every string; ``step`` strings have their features in memory at a time."""
+        parts = [self._margins(words[k : k + step]) for k in range(0, len(words), step)]
+        return np.concatenate(parts) if parts else np.zeros(0)
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         rows, numbers, weights = self.strings.features(words)
         k = (numbers * 0x9E3779B1 >> 7) & (self.size - 1)
         value = np.where(self.slot_number[k] == numbers, self.slot_weight[k], np.float32(0))
@@ -238,7 +244,7 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
     bags: list[tuple[int, set[str]]] = []
     counts = (Counter(), Counter())
     plain: Counter = Counter()
-    seen: set[tuple[int, str, str]] = set()
+    seen: set[int] = set()
     for doc, (text, label) in enumerate(sample):
         own: set[str] = set()
         for sentence in SENTENCE.split(text):
@@ -250,9 +256,9 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
                     for w in windows(word):
                         found.append(w)
                         # a string after the same word counts once, so copies of a document don't add up
-                        if (key := (label, w, before)) not in seen:
+                        if (key := hash((label, w, before))) not in seen:
                             seen.add(key)
-                            counts[label].update({w, *(w[:k] for k in range(5, len(w)))})
+                            counts[label].update({w, *(w[:k] for k in STEMS if k < len(w))})
                 before = word
             if found:
                 bags.append((doc, set(found)))
@@ -270,7 +276,7 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
     out = []
     for doc, found in bags:
         if labels[doc]:
-            top = max(((max(odds(w), *(odds(w[:k]) for k in range(5, len(w) + 1))) if len(w) > 4 else odds(w)), w) for w in found)
+            top = max((max(odds(s) for s in (w, *(w[:k] for k in STEMS if k < len(w)))), w) for w in found)
             if top[0] > least:
                 out.append((top[1], found))
     return out, plain
@@ -324,10 +330,13 @@ def train(sample: list[tuple[str, int]], landmarks: int = 240, counter: int = 4_
         if fresh := sorted(set(ahead) - set(negative) - set(positive)):
             negative += fresh
             xn = np.concatenate([xn, kernel(strings, fresh, marks) @ root])
-    table = TokenTable(model.span_scores, 1, 1 << 30)
-    best, _ = document_margins(table, [t for t, _ in sample])
+    table = TokenTable(model.span_scores, 1, 100_000)
+    best = np.concatenate([document_margins(table, [t for t, _ in sample[k : k + 100]])[0] for k in range(0, len(sample), 100)])
     known = np.isfinite(best)
     model.curve = fit_curve(best[known], np.array(labels)[known])
+    clean.cache_clear()
+    del table, labelled, plain, clean_words, strings, xn
+    tidy()
     return model
 
 
