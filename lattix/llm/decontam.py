@@ -31,6 +31,7 @@ ids and texts are read.
 from __future__ import annotations
 
 import random
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_texts, strings, text_slices
+from .common import filter_texts, strings, text_slices, worker_slot
 
 SCHEMA = "doc_id long, item_id long, distance int, item_bytes int, at long"
 _plain = bytes(c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -251,8 +252,8 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, block_b
     for block in item_blocks(benchmark, block_bytes):
         shared = spark.sparkContext.broadcast((block, rate))  # at most block_bytes of item texts and one item
 
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = ItemIndex(*shared.value)
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, key=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            index = worker_slot(("items", key), lambda: ItemIndex(*shared.value))
             for batch in text_slices(batches, "text", 16 << 20):
                 ids = batch.column("doc_id").to_pylist()
                 rows = index.search(strings(batch.column("text")))
@@ -270,8 +271,8 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1,
     for block in item_blocks(benchmark, block_bytes):
         shared = docs.sparkSession.sparkContext.broadcast((block, rate))
 
-        def judge(shared=shared):
-            index = ItemIndex(*shared.value)
+        def judge(shared=shared, key=uuid.uuid4().hex):
+            index = worker_slot(("items", key), lambda: ItemIndex(*shared.value))
 
             def passes(texts: list[str]) -> list[bool]:
                 bad = {r[0] for r in index.search(texts)}
