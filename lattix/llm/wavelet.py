@@ -155,9 +155,8 @@ class WaveletMatrix:
             bit = np.unpackbits(self.planes[level], count=self.size).view(bool)
             zeros = self._zeros(level)
             up = np.empty_like(values)
-            np.place(up, ~bit, values[:zeros])
-            if zeros < self.size:
-                np.place(up, bit, values[zeros:] | kind(1 << (self.levels - 1 - level)))
+            up[np.flatnonzero(~bit)] = values[:zeros]
+            up[np.flatnonzero(bit)] = values[zeros:] | kind(1 << (self.levels - 1 - level))
             values = up
         return self.symbols[values] if self.size else np.zeros(0, HEAD)
 
@@ -172,7 +171,7 @@ class WordEncoder:
 
     SIGNS = ("", ".", ",")
 
-    def __init__(self, path: str, most_words: int = 300_000, most_bases: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000, most_bases: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
