@@ -76,10 +76,10 @@ QUERIES = {f.__name__: f for f in (op1_langid, op2_quality, op3_topk, op4_toxici
 ORACLE_SQL = {
     "op3_topk": """
 WITH v AS (
-  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, x -> floor(64 * CAST(x AS DOUBLE))) AS x
+  SELECT row_number() OVER () AS n, vec_id, list_transform(embedding, lambda c: floor(64 * CAST(c AS DOUBLE))) AS x
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
 ), s AS (
   SELECT q.n AS qn, q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.x, c.x) AS BIGINT) AS score
   FROM v q JOIN v c ON q.n <> c.n AND len(q.x) = len(c.x) WHERE q.vec_id % 20 = 0
