@@ -74,6 +74,13 @@ def worker_slot(key: tuple, make: Callable[[], object]):
     return _slot[0][1]
 
 
+def free_slot() -> None:
+    """Drop what another operator left in this worker."""
+    if _slot:
+        _slot.clear()
+        tidy()
+
+
 def tidy() -> None:
     """Give freed memory back to the system; workers live on between tasks."""
     gc.collect()

@@ -39,11 +39,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, text_bytes, text_slices
+from .common import discard, free_slot, materialize, text_bytes, text_slices
 from .components import components
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
 REGISTERS = BANDS * ROWS
+SLICE = 2 << 20  # bytes of text at a time; hashing takes some forty times as much memory
 ID_BITS = 50
 ID_MASK = np.uint64((1 << ID_BITS) - 1)
 MOST_ROWS = 1 << (64 - ID_BITS)
@@ -193,7 +194,8 @@ def probability_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, n
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for big in text_slices(batches, "text"):
+    free_slot()
+    for big in text_slices(batches, "text", SLICE):
         for start in range(0, big.num_rows, MOST_ROWS):
             batch = big.slice(start, MOST_ROWS)
             text = batch.column("text")
@@ -237,7 +239,8 @@ SAMPLE, PREFIX = 40, 0.45
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """About ``SAMPLE`` shingles of each text, the same ones in texts of like size: those below a bound by size."""
-    for big in text_slices(batches, "text"):
+    free_slot()
+    for big in text_slices(batches, "text", SLICE):
         for start in range(0, big.num_rows, MOST_ROWS):
             batch = big.slice(start, MOST_ROWS)
             numbers, weights, many = shingles(*word_hashes(batch.column("text")))

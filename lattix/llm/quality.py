@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_bytes, text_slices
+from .common import free_slot, text_bytes, text_slices
 
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, good_share double"
 THRESHOLD = 0.3
@@ -238,6 +238,7 @@ def score(docs: DataFrame, model: QualityModel | None, held_out: Column) -> Data
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some dozens of numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        free_slot()
         for batch in text_slices(batches, "text", 4 << 20):
             got, share = score_batch(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32)), pa.array(share, from_pandas=True)], names=["doc_id", "held_out", "score", "predicted", "good_share"])
