@@ -12,11 +12,9 @@ Exact copies (equal words) collapse first, so a group of copies is one node. In
 bucket every node is paired with the bucket's smallest node, not with all others.
 After the components of the verified pairs are known, the texts of buckets that still
 hold several components go on: a similarity of 0.8 means that two texts share 0.8 of
-either's weight, so they share one of the rarest shingles that make up 0.2 of it. Of
-each text about 40 shingles are looked at, the same ones in texts of like size (those
-below a hash bound), and 0.45 in place of 0.2, which leaves four standard deviations
-for that sample. Texts of several components that share such a shingle are paired with
-a few of them: with the one whose shingles most others have, and with those that come
+either's weight, so they share one of the rarest shingles that make up 0.2 of it. All
+shingles of a text count for that, by weight. Texts of several components that share
+such a shingle are paired with a few of them: with the one whose shingles most others have, and with those that come
 first by hash orders of the shingles' own, in turns until a turn finds no new link. All this is linear in the texts; no pair within a component needs verifying.
 
 Defined results: words are runs of ASCII letters and digits and of all other
@@ -234,37 +232,37 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ORDERS = 2  # heads of a shingle's texts in a turn
-SAMPLE, PREFIX = 40, 0.45
+SLACK = 1e-9  # for rounding in sums of shares
 
 
-def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """About ``SAMPLE`` shingles of each text, the same ones in texts of like size: those below a bound by size."""
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All shingles of each text with their share of its weight."""
     free_slot()
     for big in text_slices(batches, "text", SLICE):
         for start in range(0, big.num_rows, MOST_ROWS):
             batch = big.slice(start, MOST_ROWS)
             numbers, weights, many = shingles(*word_hashes(batch.column("text")))
             doc = np.repeat(np.arange(len(many)), many)
-            order = mix(numbers + np.uint64(3)).astype(np.float64) * 2.0**-64
-            keep = order < SAMPLE / np.maximum(many, 1)[doc]
-            total = np.bincount(doc[keep], weights[keep], len(many))
+            total = np.bincount(doc, weights, len(many))
             node = np.asarray(batch.column("node").to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[doc[keep]]), pa.array(numbers[keep].astype(np.int64)), pa.array(weights[keep]), pa.array(total[doc[keep]])], names=["node", "shingle", "weight", "total"])
+            yield pa.RecordBatch.from_arrays([pa.array(node[doc]), pa.array(numbers.astype(np.int64)), pa.array(weights / total[doc])], names=["node", "shingle", "share"])
 
 
 def _prefixes(texts: DataFrame) -> DataFrame:
-    """``node, shingle, central``: the rarest sampled shingles of each text that make up ``PREFIX`` of its weight and that another text has.
+    """``node, shingle, share, before, central``: the rarest shingles of each text that make up 1 - ``SIMILARITY`` of its weight and that another text has.
 
-    ``central`` is high for texts whose shingles many others have.
+    ``before`` is the share of the text's rarer shingles. ``central`` is high for texts
+    whose shingles many others have. The order (how often, then number) is one for all
+    texts, so of two similar texts the first shingle they share is in either's prefix.
     """
-    rows = materialize(texts.mapInArrow(_sampled, "node long, shingle long, weight double, total double"), "shingles")
+    rows = materialize(texts.mapInArrow(_shares, "node long, shingle long, share double"), "shingles")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     mine = W.partitionBy("node").orderBy("often", "shingle")
-    rarer = F.coalesce(F.sum("weight").over(mine.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    alone = F.col("total") - F.sum("weight").over(W.partitionBy("node"))
-    mean = F.sum(F.col("weight") * F.log("often")).over(W.partitionBy("node")) / F.col("total")
-    placed = rows.join(often, "shingle").withColumns({"before": alone + rarer, "central": mean})
-    return placed.where(F.col("before") <= PREFIX * F.col("total")).select("node", "shingle", "central")
+    rarer = F.coalesce(F.sum("share").over(mine.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    alone = F.lit(1.0) - F.sum("share").over(W.partitionBy("node"))
+    mean = F.sum(F.col("share") * F.log("often")).over(W.partitionBy("node"))
+    placed = rows.join(often, "shingle").withColumns({"before": F.greatest(alone + rarer, F.lit(0.0)), "central": mean})
+    return placed.where(F.col("before") <= 1 - SIMILARITY + SLACK).select("node", "shingle", "share", "before", "central")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:

@@ -186,3 +186,20 @@ def test_decontamination(spark):
     assert decontam.find_items(docs, benchmark.where(F.lit(False))).count() == 0
     assert decontam.drop_contaminated(docs, benchmark.where(F.lit(False))).count() == len(rows)
     assert decontam.find_items(docs.limit(0), benchmark).count() == 0
+
+
+def assert_as_brute(spark, texts):
+    rows = [(i, t, "c") for i, t in enumerate(texts)]
+    groups = {}
+    for x in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string, class_id string")).collect():
+        groups.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert sorted(sorted(g, key=str) for g in groups.values()) == brute(rows)
+
+
+def test_texts_whose_weight_lies_in_one_shingle(spark):
+    """Pairs that share a repeated line only, among many texts with less of it."""
+    r = random.Random(9)
+    unique = lambda: " ".join(f"u{r.randrange(1 << 40)}" for _ in range(200))
+    texts = [" ".join([line] * times) + " " + unique() for line in ("ab", "cd", "ef", "gh") for times in [900] * 60 + [2100, 2100]]
+    r.shuffle(texts)
+    assert_as_brute(spark, texts)
