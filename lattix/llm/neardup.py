@@ -14,8 +14,12 @@ After the components of the verified pairs are known, the texts of buckets that
 hold several components go on: a similarity of 0.8 means that two texts share 0.8 of
 either's weight, so they share one of the rarest shingles that make up 0.2 of it. All
 shingles of a text count for that, by weight. Texts of several components that share
-such a shingle are paired with a few of them: with the one whose shingles most others have, and with those that come
-first by hash orders of the shingles' own, in turns until a turn finds no new link. All this is linear in the texts; no pair within a component needs verifying.
+such a shingle are paired with a few of them: with the one whose shingles most others
+have, and with those that come first by hash orders of the shingles' own, in turns
+until a turn finds no new link. Last, all pairs of different components that share such
+a shingle are verified, but for those that the shares of their rarer shingles rule out.
+The turns only spare that step pairs within a component. It can grow with the square
+of a family of texts that those shares don't rule out and that stay unlinked.
 
 Defined results: words are runs of ASCII letters and digits and of all other
 non-ASCII characters, in lower case; one to four words form one shingle; a text
@@ -33,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -232,6 +236,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 ORDERS = 2  # heads of a shingle's texts in a turn
+PART = 1_000  # texts of a shingle that one task pairs with all others
 SLACK = 1e-9  # for rounding in sums of shares
 
 
@@ -265,6 +270,45 @@ def _prefixes(texts: DataFrame) -> DataFrame:
     return placed.where(F.col("before") <= 1 - SIMILARITY + SLACK).select("node", "shingle", "share", "before", "central")
 
 
+def _may_be_similar() -> Column:
+    """False only for pairs of prefix rows (``other_`` for the second) that cannot be the first shared shingle of similar texts.
+
+    The rarer shingles, shares b and c of the two texts, are then not shared, so the
+    similarity is at most (1 - b)(1 - c) / (1 - bc), and at most the smaller shares' sum.
+    """
+    b, c, p, q = F.col("before"), F.col("other_before"), F.col("share"), F.col("other_share")
+    apart = (1 - b) * (1 - c) >= (SIMILARITY - SLACK) * (1 - b * c)
+    return apart & (1 - F.greatest(b + F.greatest(p - q, F.lit(0.0)), c + F.greatest(q - p, F.lit(0.0))) >= SIMILARITY - SLACK)
+
+
+def _head_pairs(where: DataFrame, turn: int) -> DataFrame:
+    """Pairs (u, v) of the texts of a prefix shingle with a few of them, in other components."""
+    orders = [F.xxhash64("node", "shingle", F.lit(ORDERS * turn + k)) for k in range(ORDERS)]
+    if turn == 0:
+        orders[0] = -F.col("central")
+    names = ("node", "component", "share", "before")
+    firsts = [F.min(F.struct(o.alias("order"), *names)) for o in orders]
+    heads = F.array(*[F.struct(*[h[n].alias(n) for n in names]) for h in firsts])
+    shared = where.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), heads.alias("heads")).where("least != most")
+    shared = shared.select("shingle", F.explode(F.array_distinct("heads")).alias("c")).select("shingle", *[F.col(f"c.{n}").alias(f"other_{n}") for n in names])
+    pairs = where.join(shared, "shingle").where((F.col("component") != F.col("other_component")) & _may_be_similar())
+    return pairs.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct()
+
+
+def _all_pairs(where: DataFrame) -> DataFrame:
+    """All pairs (u, v) of different components that share a prefix shingle and may be similar.
+
+    The texts of a common shingle are dealt to tasks by salt, ``PART`` texts against all
+    others in each.
+    """
+    mixed = where.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
+    salted = where.join(mixed.select("shingle", F.ceil(F.col("many") / PART).cast("int").alias("salts")), "shingle")
+    left = salted.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
+    right = salted.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"other_{c}") for c in ("node", "share", "before", "component")])
+    pairs = left.join(right, ["shingle", "salt"]).where(F.expr("node < other_node and component != other_component") & _may_be_similar())
+    return pairs.select(F.col("node").alias("u"), F.col("other_node").alias("v")).distinct()
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Links among pairs (u, v) whose similarity is high enough, as a written table."""
     with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
@@ -303,27 +347,22 @@ def classes(docs: DataFrame) -> DataFrame:
     rare = materialize(_prefixes(own.select("node", "text")), "prefixes")
     tried, everything = pairs, links.select("u", "v")
     tables = [members, pairs, texts, links, own, rare, nodes]
-    turn = 0
+    turn, last = 0, False
     while True:
-        where = rare.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("shingle", "node", "central", F.coalesce("component", "node").alias("component"))
-        orders = [F.xxhash64("node", "shingle", F.lit(ORDERS * turn + k)) for k in range(ORDERS)]
-        if turn == 0:
-            orders[0] = -F.col("central")
-        firsts = [F.min(F.struct(o.alias("order"), "node", "component")) for o in orders]
-        heads = F.array(*[F.struct(h["node"].alias("node"), h["component"].alias("component")) for h in firsts])
-        shared = where.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), heads.alias("heads")).where("least != most")
-        shared = shared.select("shingle", F.explode(F.array_distinct("heads")).alias("c"))
-        more = where.join(shared.select("shingle", F.col("c.node").alias("other"), F.col("c.component").alias("other_component")), "shingle")
-        more = more.where("component != other_component").select(F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")).distinct()
+        where = rare.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("shingle", "node", "central", "share", "before", F.coalesce("component", "node").alias("component"))
+        more = _all_pairs(where) if last else _head_pairs(where, turn)
         more = materialize(more.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
         new = _verified(more, texts)
         tables += [more, new]
         turn += 1
         tried = tried.select("u", "v").unionAll(more.select("u", "v"))
-        if not new.limit(1).count():
+        linked = new.limit(1).count() > 0
+        if linked:
+            everything = everything.unionAll(new.select("u", "v"))
+            found = components(everything)
+        if last:
             break
-        everything = everything.unionAll(new.select("u", "v"))
-        found = components(everything)
+        last = not linked
     named = nodes.select("node", "key", "doc_id", "text_hash").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("head"))
     by_key = materialize(named.join(heads, "component").select("key", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("class_text_hash")), "classes")

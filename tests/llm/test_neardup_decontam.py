@@ -203,3 +203,17 @@ def test_texts_whose_weight_lies_in_one_shingle(spark):
     texts = [" ".join([line] * times) + " " + unique() for line in ("ab", "cd", "ef", "gh") for times in [900] * 60 + [2100, 2100]]
     r.shuffle(texts)
     assert_as_brute(spark, texts)
+
+
+def test_pairs_in_a_large_family(spark):
+    """Texts just under the limit to each other, with some pairs over it."""
+    r = random.Random(10)
+    fresh = lambda n: [f"u{r.randrange(1 << 40)}" for _ in range(n)]
+    template = fresh(356)
+    texts = []
+    for _ in range(80):
+        both = fresh(9)
+        texts += [" ".join(template + both + fresh(39)) for _ in range(2)]
+    texts += [" ".join(template + fresh(48)) for _ in range(240)]
+    r.shuffle(texts)
+    assert_as_brute(spark, texts)
