@@ -1,22 +1,14 @@
-"""Benchmark decontamination by CGK embedding, bit sampling and exact edit distance.
+"""Benchmark decontamination by unchanged pieces and exact edit distance.
 
 Texts are normalised to lower-case UTF-8 bytes with every run of ASCII characters
 that are no letters or digits as one space. A document contains an item if some part
 of it lies within ``rate`` (a tenth) of the item's length in edits.
 
-Windows as long as an item are embedded by a random walk (CGK): while the output is
-written, the place in the window moves on or stays by a random bit for the step and
-the byte read there. Two windows few edits apart then agree in most output places.
-Each of several embeddings has tables that sample some output places; a window and an
-item that agree in all places of one table become a candidate, and candidates are
-verified by an exact edit distance (bit-parallel) over the window and its margins.
-The defaults (4 walks of 16 tables of 4 places) were set for a recall of 0.98 at the
-largest edit rate that counts; a test measures it.
-
-Windows are enumerated where the document holds pieces of an item unchanged: an item
-that may have k edits is cut into k + 2 pieces, so any occurrence holds two of them
-on about one diagonal. This filter loses nothing that verification would accept; it
-only spares embedding windows that cannot pass. An automaton finds the pieces.
+Windows as long as an item are enumerated where the document holds pieces of the item
+unchanged: an item that may have k edits is cut into k + 2 pieces, so any occurrence
+holds two of them on about one diagonal. An automaton finds the pieces. Every such
+window is verified by an exact edit distance (bit-parallel) over the window and its
+margins, near ones together, so no occurrence is lost whatever the item's length.
 
 Items go out in blocks of bounded size, one pass over the documents for each; a
 document is never cut. No shuffle takes place.
@@ -36,7 +28,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import ahocorasick
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,46 +89,12 @@ def best_match_reference(item: str, text: str) -> int:
     return min(above)
 
 
-class Embedding:
-    """CGK random walks to ``3 * size`` places and the sampled places of each table."""
-
-    def __init__(self, size: int, walks: int, tables: int, bits: int, seed: int):
-        r = np.random.default_rng(seed)
-        self.size, self.length = size, 3 * size
-        self.step = r.integers(0, 2, (walks, self.length, 256), np.uint8)
-        # late places often lie behind the window's end, where all agree: sample the first two thirds
-        self.places = r.integers(0, max(1, 2 * size), (walks, tables, bits))
-        self.mix = r.integers(1, 1 << 62, (walks, tables, bits), np.uint64) | np.uint64(1)
-
-    def codes(self, windows: np.ndarray) -> np.ndarray:
-        """Table codes of windows (rows of bytes, 0 behind their end): windows x all tables."""
-        n = len(windows)
-        wide = np.concatenate([windows, np.zeros((n, 1), np.uint8)], 1)
-        rows = np.arange(n)
-        out = []
-        for walk in range(len(self.step)):
-            place = np.zeros(n, np.int64)
-            written = np.zeros((n, self.length), np.uint8)
-            for j in range(self.length):
-                c = wide[rows, place]
-                written[:, j] = c
-                place = np.minimum(place + self.step[walk, j][c], windows.shape[1])
-            for places, mix in zip(self.places[walk], self.mix[walk], strict=True):
-                h = ((written[:, places].astype(np.uint64) + np.uint64(1)) * mix).sum(1, dtype=np.uint64)
-                out.append(h ^ h >> np.uint64(31))
-        return np.stack(out, 1)
-
-
 @dataclass
 class ItemIndex:
     """One bounded block of items, ready for search."""
 
     items: list[tuple[int, str]]  # id and normalised text
     rate: float
-    walks: int = 4
-    tables: int = 16
-    bits: int = 4
-    seed: int = 5
 
     def __post_init__(self):
         self.pieces: dict[str, list[tuple[int, int]]] = {}
@@ -150,22 +107,6 @@ class ItemIndex:
         for piece, where in self.pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
         self.automaton.make_automaton()
-        # windows of a size class share walks; sizes are rounded up
-        self.embeddings: dict[int, Embedding] = {}
-        self.item_codes: list[np.ndarray] = []
-        for _, text in self.items:
-            e = self._embedding(len(text))
-            self.item_codes.append(e.codes(self._rows([text], e.size))[0])
-
-    def _embedding(self, size: int) -> Embedding:
-        wide = max(16, -(-size // 32) * 32)
-        if wide not in self.embeddings:
-            self.embeddings[wide] = Embedding(wide, self.walks, self.tables, self.bits, self.seed + wide)
-        return self.embeddings[wide]
-
-    @staticmethod
-    def _rows(windows: list[str], size: int) -> np.ndarray:
-        return np.frombuffer("".join(w[:size].ljust(size, "\0") for w in windows).encode("latin-1"), np.uint8).reshape(-1, size)
 
     def windows(self, text: str) -> list[tuple[int, int]]:
         """(item, start of an item-sized window) wherever two of its pieces stand on about one diagonal."""
@@ -192,22 +133,10 @@ class ItemIndex:
     def search(self, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
         """(text, item id, distance, item's bytes, place) of every item that a text contains."""
         plain = [normalise(t) for t in texts]
-        open_: dict[int, list[tuple[int, int, int, str]]] = {}
+        found: dict[tuple[int, int], list[int]] = {}
         for i, text in enumerate(plain):
             for k, d in self.windows(text):
-                size = len(self.items[k][1])
-                start = max(0, d)
-                open_.setdefault(self._embedding(size).size, []).append((i, k, start, text[start : start + size]))
-        found: dict[tuple[int, int], list[int]] = {}
-        for wide, rows in open_.items():
-            e = self.embeddings[wide]
-            for a in range(0, len(rows), 4_000):
-                some = rows[a : a + 4_000]
-                distinct = {w: n for n, w in enumerate(dict.fromkeys(r[3] for r in some))}
-                codes = e.codes(self._rows(list(distinct), wide))
-                for i, k, start, window in some:
-                    if (codes[distinct[window]] == self.item_codes[k]).any():
-                        found.setdefault((i, k), []).append(start)
+                found.setdefault((i, k), []).append(max(0, d))
         out = []
         for (i, k), starts in found.items():
             item = self.items[k][1]

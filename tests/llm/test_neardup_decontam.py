@@ -217,3 +217,18 @@ def test_pairs_in_a_large_family(spark):
     texts += [" ".join(template + fresh(48)) for _ in range(240)]
     r.shuffle(texts)
     assert_as_brute(spark, texts)
+
+
+@pytest.mark.parametrize("size", [1_000, 2_000, 5_000])
+def test_long_items_at_the_full_edit_rate(size):
+    r, text, _ = items()
+    bench = [(i, text(size // 4)) for i in range(4)]
+    index = decontam.ItemIndex([(i, decontam.normalise(t)) for i, t in bench], 0.1)
+    docs, want = [], set()
+    for k in range(20):
+        i, t = bench[k % 4]
+        docs.append(f"{text(60)} {decontam.edited(t, int(len(t) * 0.1), r)} {text(60)}")
+        plain = decontam.normalise(t)
+        if decontam.best_match(plain, decontam.normalise(docs[-1]))[0] <= int(len(plain) * 0.1):
+            want.add((k, i))
+    assert len(want) >= 15 and {(k, i) for k, i, *_ in index.search(docs)} == want
