@@ -3,7 +3,7 @@
 A page is read into its leaf blocks in order: runs of text between tags that break
 lines, each with the path of open tags (names, and the words of class, id and role
 attributes). A bidirectional LSTM in numpy reads, for every block, hashed vectors of
-its tag path and of its words together with a few measures (length, share of linked
+its tag path and of all its words together with a few measures (length, share of linked
 text, place), so each block is labelled with the whole page as context. Blocks
 labelled as main text, in page order, joined by a space, are the page's text.
 
@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, strings, text_slices
+from .common import TokenTable, bounded_sample, segment_sum, strings, text_slices
 
 SCHEMA = "page_id long, url string, text string, n_chars long"
 
@@ -177,6 +177,41 @@ def sign_vector(word: str, size: int) -> np.ndarray:
     return got
 
 
+def _sign_rows(words: list[str]) -> np.ndarray:
+    out = np.empty((len(words), WORD_DIM), np.float32)
+    for i, w in enumerate(words):
+        out[i] = np.random.default_rng(zlib.crc32(w.encode())).standard_normal(WORD_DIM)
+    return out
+
+
+_words = TokenTable(_sign_rows, WORD_DIM)
+PART = 50_000  # words summed at a time
+
+
+def word_vectors(texts: list[list[str]]) -> np.ndarray:
+    """The sum of the fixed random vectors of all words of each text, at a length of 0.75."""
+    out = np.zeros((len(texts), WORD_DIM))
+    parts: list[list[str]] = []
+    of: list[int] = []
+    held = 0
+
+    def add() -> None:
+        rows, counts = _words.lookup(parts)
+        np.add.at(out, of, segment_sum(rows, counts))
+
+    for i, words in enumerate(texts):
+        for at in range(0, len(words), PART):
+            parts.append(words[at : at + PART])
+            of.append(i)
+            held += len(parts[-1])
+            if held >= PART:
+                add()
+                parts, of, held = [], [], 0
+    if parts:
+        add()
+    return 0.75 * out / np.maximum(np.sqrt((out * out).sum(1, keepdims=True)), 1e-6)
+
+
 _paths: dict[tuple[str, ...], np.ndarray] = {}
 
 
@@ -197,11 +232,10 @@ def path_vector(path: tuple[str, ...]) -> np.ndarray:
 def inputs(blocks: list[Block]) -> np.ndarray:
     out = np.zeros((len(blocks), INPUT), np.float32)
     n = max(1, len(blocks) - 1)
-    for i, b in enumerate(blocks):
+    texts = [b.text.lower().split() for b in blocks]
+    out[:, PATH_DIM : PATH_DIM + WORD_DIM] = word_vectors(texts)
+    for i, (b, words) in enumerate(zip(blocks, texts, strict=True)):
         out[i, :PATH_DIM] = path_vector(b.path)
-        words = b.text.split()
-        for w in words[:4] + words[-2:]:  # the words at its ends stand for a block; its text is kept whole
-            out[i, PATH_DIM : PATH_DIM + WORD_DIM] += 0.3 * sign_vector(w.lower(), WORD_DIM)
         size = len(b.text)
         out[i, PATH_DIM + WORD_DIM :] = (
             np.log1p(size) / 6,

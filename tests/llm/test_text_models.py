@@ -252,3 +252,12 @@ def test_extraction_edge_cases(spark):
     rows = html_extract.extract(df, html_extract.Labeller.fresh()).collect()
     assert len(rows) == 5 and {r["text"] for r in rows if r["page_id"] in (1, 2, 3)} == {""}
     assert html_extract.extract(df.limit(0), html_extract.train([])).count() == 0
+
+
+def test_html_inputs_read_all_words_of_a_block():
+    def row(middle):
+        return html_extract.inputs([html_extract.Block(("p",), f"one two three four {middle} five six", 0)])[0]
+
+    assert not np.allclose(row("buy it now today"), row("the sea was calm"))
+    many = row(" ".join(f"w{i}" for i in range(120_000)))
+    assert np.isfinite(many).all() and np.linalg.norm(many[html_extract.PATH_DIM :][: html_extract.WORD_DIM]) < 1
