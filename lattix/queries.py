@@ -227,6 +227,7 @@ def _places(s: SparkSession, d: str) -> DataFrame:
 _PLACES = "p AS (SELECT c_custkey AS id, (c_custkey * 7) % 180 / 10.0 - 1 AS x, (c_custkey * 13) % 100 / 10.0 - 1 AS y, DATE '2023-12-30' + CAST(c_custkey % 34 AS INT) AS t FROM customer)"
 _add("query_points", lambda s, d: _value(s, d).query_points(_places(s, d)).select("id", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, round(e.value, {DIGITS}) AS value FROM p LEFT JOIN e ON e.it = date_diff('day', DATE '2024-01-01', p.t) AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
 _add("query_timeseries", lambda s, d: _value(s, d).query_timeseries(_places(s, d).where("id % 50 = 0").select("id", "x", "y")).select("id", "it", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, CAST(t.i AS INT) AS it, round(e.value, {DIGITS}) AS value FROM (SELECT * FROM p WHERE id % 50 = 0) p CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN e ON e.it = t.i AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
+_add("query_timeseries_all", lambda s, d: _value(s, d).query_timeseries(_places(s, d).select("id", "x", "y")).select("id", "it", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, CAST(t.i AS INT) AS it, round(e.value, {DIGITS}) AS value FROM p CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN e ON e.it = t.i AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
 _BOXES = [(1, 0, 0, 4, 3), (2, 3.2, 2.1, 9.7, 6.4), (3, 10, 4, 16, 8), (4, 3.6, 3.6, 3.9, 3.9)]
 
 

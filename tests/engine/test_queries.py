@@ -58,3 +58,8 @@ def test_plans_push_down_and_shuffle_once(spark):
     assert w.count("Exchange hashpartitioning(iy") == 1
     z = plan(queries.QUERIES["zonal_statistics"](spark, DATA))
     assert "CartesianProduct" not in z and "NestedLoop" not in z
+
+
+def test_time_series_of_all_places(spark):
+    ids = queries.QUERIES["query_timeseries_all"](spark, DATA).select("id").distinct().count()
+    assert ids == spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").distinct().count()
