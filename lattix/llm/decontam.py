@@ -13,7 +13,8 @@ margins, near ones together, so no occurrence is lost whatever the item's length
 Items go out in blocks of bounded size, one pass over the documents for each; a
 document is never cut. No shuffle takes place.
 
-Defined results: null, empty and letterless items match nothing, null and empty
+Defined results: items of null, empty or letterless text match nothing, items of a
+null id match like others, null and empty
 texts contain nothing; an item of a few bytes needs to occur unchanged when a tenth
 of its length is less than one edit; repeated rows repeat; the smallest distance of
 an item wins, ties go to the earliest place; empty tables give an empty result; only
@@ -93,7 +94,7 @@ def best_match_reference(item: str, text: str) -> int:
 class ItemIndex:
     """One bounded block of items, ready for search."""
 
-    items: list[tuple[int, str]]  # id and normalised text
+    items: list[tuple[int | None, str]]  # id and normalised text
     rate: float
 
     def __post_init__(self):
@@ -156,10 +157,10 @@ class ItemIndex:
         return out
 
 
-def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Distinct normalised items in blocks of bounded size; equal texts keep the smallest id."""
-    rows = benchmark.where("item_id is not null and text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).orderBy("item_id")
-    block: dict[str, int] = {}
+def item_blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[int | None, str]]]:
+    """Distinct normalised items in blocks of bounded size; equal texts keep the smallest id, null after all others."""
+    rows = benchmark.where("text is not null").groupBy("text").agg(F.min("item_id").cast("long").alias("item_id")).orderBy(F.asc_nulls_last("item_id"))
+    block: dict[str, int | None] = {}
     held = 0
     for r in rows.toLocalIterator():
         text = normalise(r["text"])

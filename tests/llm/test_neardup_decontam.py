@@ -232,3 +232,10 @@ def test_long_items_at_the_full_edit_rate(size):
         if decontam.best_match(plain, decontam.normalise(docs[-1]))[0] <= int(len(plain) * 0.1):
             want.add((k, i))
     assert len(want) >= 15 and {(k, i) for k, i, *_ in index.search(docs)} == want
+
+
+def test_items_with_null_ids(spark):
+    docs = spark.createDataFrame([(1, "so some other words here"), (2, "nothing"), (3, "the ok one")], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(None, "other words"), (None, "ok one"), (7, "OK one")], "item_id long, text string")
+    assert sorted(tuple(x) for x in decontam.find_items(docs, benchmark).select("doc_id", "item_id").collect()) == [(1, None), (3, 7)]
+    assert [x["doc_id"] for x in decontam.drop_contaminated(docs, benchmark).collect()] == [2]
