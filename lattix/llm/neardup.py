@@ -9,17 +9,16 @@ usual Jaccard similarity. 24 bands of 5 registers give the candidates, and candi
 are verified by the exact probability Jaccard similarity, 0.8 or more.
 
 Exact copies (equal words) collapse first, so a group of copies is one node. In a
-bucket every node is paired with the bucket's smallest node, not with all others.
-After the components of the verified pairs are known, the texts of buckets that still
-hold several components go on: a similarity of 0.8 means that two texts share 0.8 of
-either's weight, so they share one of the rarest shingles that make up 0.2 of it. All
-shingles of a text count for that, by weight. Texts of several components that share
-such a shingle are paired with a few of them: with the one whose shingles most others
-have, and with those that come first by hash orders of the shingles' own, in turns
-until a turn finds no new link. Last, all pairs of different components that share such
-a shingle are verified, but for those that the shares of their rarer shingles rule out.
-The turns only spare that step pairs within a component. It can grow with the square
-of a family of texts that those shares don't rule out and that stay unlinked.
+bucket every node is first verified against one leader: the node whose buckets hold the
+most nodes in all, which near copies of one text have in common. Buckets whose nodes
+are then in one component are done. In all others every pair of nodes of different
+components is verified, whatever their number: a bucket is dealt to parts of bounded
+size, one task for each two parts, and pairs are compared within the task, in numpy, so
+only links leave it. A pair is verified in the first bucket it shares. A node goes no
+further in a part where the shingles that any other node has make up less than 0.8 of
+its weight. So no pair that shares a bucket is left out; a pair at a similarity of 0.8
+shares none with probability (1 - 0.8 ** 5) ** 24, 0.00007. Work between components of
+one bucket grows with the product of their sizes; rows do so only by part.
 
 Defined results: words are runs of ASCII letters and digits and of all other
 non-ASCII characters, in lower case; one to four words form one shingle; a text
@@ -37,8 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, free_slot, materialize, text_bytes, text_slices
@@ -215,105 +213,161 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(bands[has].ravel()))], names=["doc_id", "text_hash", "key", "bands"])
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact similarity of pairs of texts; shingles of a text that follows itself are kept."""
-    kept: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in batches:
-        for at in range(0, batch.num_rows, 1_000):
-            part = batch.slice(at, 1_000)
-            u, v = part.column("u").to_pylist(), part.column("v").to_pylist()
-            for ids, column in ((u, "text_u"), (v, "text_v")):
-                new = {n: i for i, n in enumerate(ids) if n not in kept}
-                if new:
-                    numbers, weights, many = shingles(*word_hashes(part.column(column).take(pa.array(list(new.values())))))
-                    ends = np.cumsum(many)
-                    for n, e, m in zip(new, ends.tolist(), many.tolist(), strict=True):
-                        kept[n] = (numbers[e - m : e], weights[e - m : e])
-            similar = [probability_jaccard(kept[a], kept[b]) for a, b in zip(u, v, strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column("u"), part.column("v"), pa.array(similar, pa.float64())], names=["u", "v", "similarity"])
-            if sum(len(x[0]) for x in kept.values()) > 2_000_000:
-                kept.clear()
-
-
-ORDERS = 2  # heads of a shingle's texts in a turn
-PART = 1_000  # texts of a shingle that one task pairs with all others
+PART = 1_000  # nodes of a bucket in one part
+PART_SHINGLES = 1 << 20  # or so many shingles
+LEADER_PART = 2_000  # pairs with one leader in one task
 SLACK = 1e-9  # for rounding in sums of shares
+SHINGLED = "node long, numbers array<long>, times array<int>"
 
 
-def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All shingles of each text with their share of its weight."""
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct shingles of each text, sorted, and how often they occur (null: once each)."""
     free_slot()
     for big in text_slices(batches, "text", SLICE):
         for start in range(0, big.num_rows, MOST_ROWS):
             batch = big.slice(start, MOST_ROWS)
             numbers, weights, many = shingles(*word_hashes(batch.column("text")))
-            doc = np.repeat(np.arange(len(many)), many)
-            total = np.bincount(doc, weights, len(many))
-            node = np.asarray(batch.column("node").to_pylist(), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(node[doc]), pa.array(numbers.astype(np.int64)), pa.array(weights / total[doc])], names=["node", "shingle", "share"])
+            ends = np.cumsum(many)
+            repeats = np.add.reduceat(np.append(weights > 1, False), ends - many) * (many > 0) > 0
+            mine = np.repeat(repeats, many)
+            offsets = np.concatenate([[0], np.cumsum(np.where(repeats, many, 0))]).astype(np.int32)
+            times = pa.ListArray.from_arrays(pa.array(offsets), pa.array(weights[mine].astype(np.int32)), mask=pa.array(~repeats))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.ListArray.from_arrays(pa.array(np.append(0, ends).astype(np.int32)), pa.array(numbers.astype(np.int64))), times], names=["node", "numbers", "times"])
 
 
-def _prefixes(texts: DataFrame) -> DataFrame:
-    """``node, shingle, share, before, central``: the rarest shingles of each text that make up 1 - ``SIMILARITY`` of its weight and that another text has.
+class Texts:
+    """Shingles of several texts one after another, with their share of each text's weight."""
 
-    ``before`` is the share of the text's rarer shingles. ``central`` is high for texts
-    whose shingles many others have. The order (how often, then number) is one for all
-    texts, so of two similar texts the first shingle they share is in either's prefix.
-    """
-    rows = materialize(texts.mapInArrow(_shares, "node long, shingle long, share double"), "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
-    mine = W.partitionBy("node").orderBy("often", "shingle")
-    rarer = F.coalesce(F.sum("share").over(mine.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    alone = F.lit(1.0) - F.sum("share").over(W.partitionBy("node"))
-    mean = F.sum(F.col("share") * F.log("often")).over(W.partitionBy("node"))
-    placed = rows.join(often, "shingle").withColumns({"before": F.greatest(alone + rarer, F.lit(0.0)), "central": mean})
-    return placed.where(F.col("before") <= 1 - SIMILARITY + SLACK).select("node", "shingle", "share", "before", "central")
+    def __init__(self, numbers: pa.Array, times: pa.Array):
+        self.count = np.asarray(pc.list_value_length(numbers)).astype(np.int64)
+        self.end = np.cumsum(self.count)
+        self.number = np.asarray(numbers.flatten()).astype(np.uint64)
+        self.weight = np.ones(len(self.number))
+        self.plain = np.asarray(times.is_null())
+        self.weight[np.repeat(~self.plain, self.count)] = np.asarray(times.flatten())
+        total = np.bincount(self.owner(), self.weight, len(self.count))
+        self.share = self.weight / np.repeat(total, self.count)
 
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.count)), self.count)
 
-def _may_be_similar() -> Column:
-    """False only for pairs of prefix rows (``other_`` for the second) that cannot be the first shared shingle of similar texts.
+    def pair(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.end[i] - self.count[i], self.end[i])
+        return self.number[part], self.weight[part]
 
-    The rarer shingles, shares b and c of the two texts, are then not shared, so the
-    similarity is at most (1 - b)(1 - c) / (1 - bc), and at most the smaller shares' sum.
-    """
-    b, c, p, q = F.col("before"), F.col("other_before"), F.col("share"), F.col("other_share")
-    apart = (1 - b) * (1 - c) >= (SIMILARITY - SLACK) * (1 - b * c)
-    return apart & (1 - F.greatest(b + F.greatest(p - q, F.lit(0.0)), c + F.greatest(q - p, F.lit(0.0))) >= SIMILARITY - SLACK)
-
-
-def _head_pairs(where: DataFrame, turn: int) -> DataFrame:
-    """Pairs (u, v) of the texts of a prefix shingle with a few of them, in other components."""
-    orders = [F.xxhash64("node", "shingle", F.lit(ORDERS * turn + k)) for k in range(ORDERS)]
-    if turn == 0:
-        orders[0] = -F.col("central")
-    names = ("node", "component", "share", "before")
-    firsts = [F.min(F.struct(o.alias("order"), *names)) for o in orders]
-    heads = F.array(*[F.struct(*[h[n].alias(n) for n in names]) for h in firsts])
-    shared = where.groupBy("shingle").agg(F.min("component").alias("least"), F.max("component").alias("most"), heads.alias("heads")).where("least != most")
-    shared = shared.select("shingle", F.explode(F.array_distinct("heads")).alias("c")).select("shingle", *[F.col(f"c.{n}").alias(f"other_{n}") for n in names])
-    pairs = where.join(shared, "shingle").where((F.col("component") != F.col("other_component")) & _may_be_similar())
-    return pairs.select(F.least("node", "other_node").alias("u"), F.greatest("node", "other_node").alias("v")).distinct()
-
-
-def _all_pairs(where: DataFrame) -> DataFrame:
-    """All pairs (u, v) of different components that share a prefix shingle and may be similar.
-
-    The texts of a common shingle are dealt to tasks by salt, ``PART`` texts against all
-    others in each.
-    """
-    mixed = where.groupBy("shingle").agg(F.count("*").alias("many"), F.min("component").alias("least"), F.max("component").alias("most")).where("least != most")
-    salted = where.join(mixed.select("shingle", F.ceil(F.col("many") / PART).cast("int").alias("salts")), "shingle")
-    left = salted.withColumn("salt", F.pmod(F.xxhash64("node"), "salts").cast("int"))
-    right = salted.select("shingle", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), *[F.col(c).alias(f"other_{c}") for c in ("node", "share", "before", "component")])
-    pairs = left.join(right, ["shingle", "salt"]).where(F.expr("node < other_node and component != other_component") & _may_be_similar())
-    return pairs.select(F.col("node").alias("u"), F.col("other_node").alias("v")).distinct()
 
+def _at_least(a: Texts, i: int, b: Texts, rows: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of the texts ``rows`` of ``b`` are similar enough to text ``i`` of ``a``.
 
-def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links among pairs (u, v) whose similarity is high enough, as a written table."""
-    with_v = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
-    with_u = with_v.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u")
-    return materialize(with_u.select("u", "v", "text_u", "text_v").mapInArrow(_verify, "u long, v long, similarity double").where(F.col("similarity") >= SIMILARITY), "verified")
+    ``common`` are their sums of the smaller shares of common shingles, which no
+    similarity exceeds. Texts without repeats are decided by the number of common
+    shingles, which follows from that sum; the others by the full formula.
+    """
+    out = common >= SIMILARITY - SLACK
+    counts = b.count[rows]
+    if a.plain[i]:
+        both = np.rint(common * np.maximum(counts, a.count[i]))
+        plain = b.plain[rows]
+        out &= ~plain | (both >= SIMILARITY * (a.count[i] + counts - both))
+        doubtful = np.flatnonzero(out & ~plain)
+    else:
+        doubtful = np.flatnonzero(out)
+    for k in doubtful.tolist():
+        out[k] = probability_jaccard(a.pair(i), b.pair(rows[k])) >= SIMILARITY
+    return out
+
+
+def _with_leader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of leaders with the nodes that follow them; ``role`` is 0 on a leader's own row."""
+    leader: Texts | None = None
+    for batch in batches:
+        leaders, roles = np.asarray(batch.column("leader")), np.asarray(batch.column("role"))
+        texts = Texts(batch.column("numbers"), batch.column("times"))
+        nodes = np.asarray(batch.column("node"))
+        cuts = np.flatnonzero(np.r_[True, roles[1:] == 0, True]) if len(roles) else []
+        u, v = [], []
+        for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+            rows = np.arange(first, last)
+            if roles[first] == 0:
+                leader = Texts(batch.column("numbers").slice(first, 1), batch.column("times").slice(first, 1))
+                rows = rows[1:]
+            if not len(rows):
+                continue
+            part = slice(texts.end[rows[0]] - texts.count[rows[0]], texts.end[rows[-1]])
+            at = np.minimum(np.searchsorted(leader.number, texts.number[part]), len(leader.number) - 1)
+            low = np.where(leader.number[at] == texts.number[part], np.minimum(leader.share[at], texts.share[part]), 0.0)
+            common = np.bincount(np.repeat(np.arange(len(rows)), texts.count[rows]), low, len(rows))
+            good = rows[_at_least(leader, 0, texts, rows, common)]
+            u.append(leaders[good])
+            v.append(nodes[good])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in (u, v)], names=["u", "v"])
+
+
+def _block_links(table: pa.Table) -> pa.Table:
+    """Links between the components of one bucket, among one part of it or between two."""
+    table = table.combine_chunks()
+    bucket, two = table.column("bucket")[0].as_py(), table.column("i")[0].as_py() != table.column("j")[0].as_py()
+    label = np.asarray(table.column("component")).copy()
+    node, part = np.asarray(table.column("node")), np.asarray(table.column("part"))
+    bands = np.asarray(table.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+    before = bands[:, : int(np.flatnonzero(bands[0] == bucket)[0])]
+    texts = Texts(table.column("numbers").combine_chunks(), table.column("times").combine_chunks())
+    _, ids, often = np.unique(texts.number, return_inverse=True, return_counts=True)
+    shared = often[ids] > 1
+    owner = texts.owner()
+    possible = np.bincount(owner[shared], texts.share[shared], len(node)) >= SIMILARITY - SLACK
+    keep = shared & possible[owner]
+    ids, share = ids[keep], texts.share[keep]
+    count = np.bincount(owner[keep], minlength=len(node))
+    start = np.cumsum(count) - count
+    mark = np.zeros(len(often))
+    u, v = [], []
+    rows = np.flatnonzero(possible)
+    for at, i in enumerate(rows):
+        rest = rows[at + 1 :]
+        if two:
+            rest = rest[part[rest] != part[i]]
+        rest = rest[label[rest] != label[i]]
+        if not len(rest):
+            continue
+        rest = rest[~(before[rest] == before[i]).any(1)]
+        mine = slice(start[i], start[i] + count[i])
+        mark[ids[mine]] = share[mine]
+        for k in range(0, len(rest), 500):
+            some = rest[k : k + 500]
+            n = count[some]
+            of = np.repeat(np.arange(len(some)), n)
+            place = np.arange(len(of)) + np.repeat(start[some] - np.cumsum(n) + n, n)
+            common = np.bincount(of, np.minimum(mark[ids[place]], share[place]), len(some))
+            for j in some[_at_least(texts, i, texts, some, common)].tolist():
+                if label[j] != label[i]:
+                    u.append(node[i])
+                    v.append(node[j])
+                    label[label == label[j]] = label[i]
+        mark[ids[mine]] = 0
+    return pa.table([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+
+def _leader_links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links among (leader, node), as a written table. A leader's shingles go out once for each ``LEADER_PART`` of its pairs."""
+    sizes = pairs.groupBy("leader").agg(F.ceil(F.count("*") / LEADER_PART).cast("int").alias("salts"))
+    nodes = pairs.join(sizes, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("role"), "node")
+    heads = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"), F.col("leader").alias("node"))
+    rows = nodes.unionByName(heads).join(texts, "node").select("leader", "salt", "role", "node", "numbers", "times")
+    dealt = rows.repartition("leader", "salt").sortWithinPartitions("leader", "salt", "role")
+    return materialize(dealt.mapInArrow(_with_leader, "u long, v long"), "links")
+
+
+def _rest_links(members: DataFrame, bands: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Links among all pairs of different components of a bucket, as a written table."""
+    placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    weight = F.greatest(F.lit(1.0 / PART), F.col("size") / F.lit(PART_SHINGLES))
+    placed = placed.join(texts.select("node", F.size("numbers").alias("size")), "node")
+    open_ = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.ceil(F.sum(weight)).cast("int").alias("parts")).where("least != most").select("bucket", "parts")
+    dealt = placed.join(open_, "bucket").withColumn("part", F.pmod(F.xxhash64("node", "bucket"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("bucket", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "component")
+    full = dealt.join(texts.join(bands, "node"), "node")
+    return materialize(full.groupBy("bucket", "i", "j").applyInArrow(_block_links, "u long, v long").distinct(), "links")
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -321,7 +375,6 @@ def classes(docs: DataFrame) -> DataFrame:
 
     The last two name the document that represents the class.
     """
-    spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     source = source.withColumn("text_hash", F.xxhash64("text"))
     signed = materialize(source.mapInArrow(_signatures, "doc_id long, text_hash long, key binary, bands array<long>"), "signatures")
@@ -329,44 +382,22 @@ def classes(docs: DataFrame) -> DataFrame:
     nodes = signed.where("key is not null").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("own"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "own.doc_id", "own.text_hash", "bands"), "nodes")
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    buckets = spread.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("many")).where("many > 1")
-    members = materialize(spread.join(buckets, "bucket").select("bucket", "node", "leader"), "members")
-    pairs = materialize(members.where("node != leader").select(F.col("leader").alias("u"), F.col("node").alias("v")).distinct(), "pairs")
-    involved = members.select("node").distinct()
-    wanted = nodes.select("node", "doc_id", "text_hash").join(involved, "node")
+    buckets = spread.groupBy("bucket").agg(F.count("*").alias("many")).where("many > 1")
+    members = materialize(spread.join(buckets, "bucket"), "members")
+    central = members.groupBy("node").agg(F.sum("many").alias("central"))
+    leaders = members.join(central, "node").groupBy("bucket").agg(F.max(F.struct("central", (-F.col("node")).alias("least"))).alias("top")).select("bucket", (-F.col("top.least")).alias("leader"))
+    pairs = materialize(members.join(leaders, "bucket").where("node != leader").select("leader", "node").distinct(), "pairs")
+    wanted = nodes.join(central, "node", "left_semi").select("node", "doc_id", "text_hash")
     texts = wanted.join(source.withColumnsRenamed({"doc_id": "d", "text_hash": "h"}), (F.col("h") == F.col("text_hash")) & F.col("d").eqNullSafe(F.col("doc_id"))).groupBy("node").agg(F.first("text").alias("text"))
-    texts = materialize(texts, "texts")
-    links = _verified(pairs, texts)
-    found = components(links.select("u", "v"))
-
-    # texts of buckets that still hold several components
-    placed = members.select("bucket", "node").join(found, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least != most").select("bucket")
-    open_ = placed.join(mixed, "bucket").select("node", "component").distinct()
-    own = materialize(open_.join(texts, "node"), "open")
-    rare = materialize(_prefixes(own.select("node", "text")), "prefixes")
-    tried, everything = pairs, links.select("u", "v")
-    tables = [members, pairs, texts, links, own, rare, nodes]
-    turn, last = 0, False
-    while True:
-        where = rare.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("shingle", "node", "central", "share", "before", F.coalesce("component", "node").alias("component"))
-        more = _all_pairs(where) if last else _head_pairs(where, turn)
-        more = materialize(more.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "pairs")
-        new = _verified(more, texts)
-        tables += [more, new]
-        turn += 1
-        tried = tried.select("u", "v").unionAll(more.select("u", "v"))
-        linked = new.limit(1).count() > 0
-        if linked:
-            everything = everything.unionAll(new.select("u", "v"))
-            found = components(everything)
-        if last:
-            break
-        last = not linked
+    texts = materialize(texts.mapInArrow(_shingled, SHINGLED), "shingles")
+    links = _leader_links(pairs, texts)
+    first = components(links)
+    more = _rest_links(members, nodes.select("node", "bands"), texts, first)
+    found = components(links.unionAll(more)) if more.limit(1).count() else first
     named = nodes.select("node", "key", "doc_id", "text_hash").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     heads = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")).alias("head"))
     by_key = materialize(named.join(heads, "component").select("key", F.col("head.doc_id").alias("class_id"), F.col("head.text_hash").alias("class_text_hash")), "classes")
-    for table in tables:
+    for table in (members, pairs, texts, links, more, nodes):
         discard(table)
     alone = signed.where("key is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.col("text_hash").alias("class_text_hash"))
     return signed.where("key is not null").join(by_key, "key").select("doc_id", "text_hash", "class_id", "class_text_hash").unionByName(alone)

@@ -239,3 +239,23 @@ def test_items_with_null_ids(spark):
     benchmark = spark.createDataFrame([(None, "other words"), (None, "ok one"), (7, "OK one")], "item_id long, text string")
     assert sorted(tuple(x) for x in decontam.find_items(docs, benchmark).select("doc_id", "item_id").collect()) == [(1, None), (3, 7)]
     assert [x["doc_id"] for x in decontam.drop_contaminated(docs, benchmark).collect()] == [2]
+
+
+def test_buckets_in_many_parts(spark, monkeypatch):
+    """Leaders and buckets dealt to parts of a few nodes."""
+    monkeypatch.setattr(neardup, "PART", 7)
+    monkeypatch.setattr(neardup, "LEADER_PART", 5)
+    r = random.Random(12)
+    base = words(r, 120)
+    texts = [" ".join(edited(r, base, r.choice([3, 5, 8]))) for _ in range(90)] + ["one line again " * 70 + " ".join(words(r, 60)) for _ in range(30)]
+    assert_as_brute(spark, texts)
+
+
+def test_very_long_texts(spark):
+    r = random.Random(13)
+    long = words(r, 150_000, 1 << 40)
+    texts = [" ".join(long), " ".join(edited(r, long, 2_000)), " ".join(long[:100_000]), "ab " * 200_000, "ab " * 200_001, "short"]
+    groups = {}
+    for x in neardup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        groups.setdefault(x["class_id"], []).append(x["doc_id"])
+    assert sorted(map(sorted, groups.values())) == [[0, 1], [2], [3, 4], [5]]
