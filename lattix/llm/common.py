@@ -163,7 +163,8 @@ class TokenTable(dict):
 def bounded_sample(df: DataFrame, stratum: str, key: str, each: int, seed: int = 1, most_strata: int = 200) -> list:
     """Rows of a hash-ordered sample, at most ``each`` for every value of ``stratum``.
 
-    The driver receives at most ``most_strata * each`` rows. A null stratum is left out.
+    The driver receives some ``most_strata * each`` rows. A null stratum is left out, and
+    so are those past the ``most_strata`` most frequent ones (by name where even).
     """
     df = df.where(F.col(stratum).isNotNull())
     counts = {r[0]: r[1] for r in df.groupBy(stratum).count().orderBy(F.desc("count"), stratum).limit(most_strata).collect()}
@@ -171,7 +172,7 @@ def bounded_sample(df: DataFrame, stratum: str, key: str, each: int, seed: int =
         return []
     order = F.pmod(F.xxhash64(F.lit(seed), F.col(key).cast("string")), F.lit(1 << 30))
     limits = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1 << 30, int((1 << 30) * (1.25 * each + 20) / n)))])
-    rows = df.where(order < F.element_at(limits, F.col(stratum))).withColumn("_order", order).limit(most_strata * 2 * each).collect()
+    rows = df.where(order < F.element_at(limits, F.col(stratum))).withColumn("_order", order).orderBy("_order", F.col(key).cast("string")).limit(len(counts) * (2 * each + 100)).collect()
     taken: dict = {}
     out = []
     for r in sorted(rows, key=lambda r: (r["_order"], str(r[key]))):

@@ -39,12 +39,39 @@ def test_suffix_automaton_has_all_substrings():
 def test_vectorised_parse_is_the_plain_one():
     r = random.Random(1)
     words = ["".join(r.choice("abcde") for _ in range(r.randrange(1, 9))) for _ in range(80)]
-    model = langid.train({"p": [" ".join(words[:40])], "q": [" ".join(words[40:])]})
-    plain = [langid.SuffixAutomaton(f" {' '.join(w)} ") for w in (words[:40], words[40:])]
-    probes = words + ["xyz", "abz", "a1b!", "", "!!", "EDCBA"]
-    for w, row in zip(probes, model.counts(probes), strict=True):
-        letters = langid.NO_LETTER.sub("", w.lower())
-        assert row.tolist() == [len(letters), *[a.phrases(f" {letters} ") if letters else 0 for a in plain]]
+    model = langid.train({"p": [" ".join(words[:40])], "q": [" ".join(words[40:]) + " ж"]})
+    codes = model.code_table()
+    plain = [langid.SuffixAutomaton(" ".join(words[:40])), langid.SuffixAutomaton(" ".join(words[40:]) + " ж")]
+    probes = [*words, "xyz", "abz", "a1b!", "", "!!", "EDCBA", " ab  cd", "½ ² Ⅷ", "ж Ж ab"]
+    probes += [" ".join(r.choice(words) for _ in range(n)) for n in (5, 300, 900)] + [r.choice(words) * 900]
+    letters, phrases = model.parse(codes, probes)
+    for k, text in enumerate(probes):
+        whole = langid.plain(text)
+        assert letters[k] == sum(map(str.isalpha, whole))
+        if whole and not text[-1].isalpha():
+            whole += " "
+        parts = [whole[i : i + langid.STRETCH] for i in range(0, len(whole), langid.STRETCH)]
+        assert phrases[k].tolist() == [sum(map(a.phrases, parts)) for a in plain]
+
+
+def test_phrases_cross_words():
+    model = langid.train({"a": ["one two three four"], "b": ["xyz"]})
+    _, phrases = model.parse(model.code_table(), ["one two three four", "two three"])
+    assert phrases[:, 0].tolist() == [1, 1]
+
+
+def test_only_letters_of_category_l_count():
+    model = langid.train({"a": ["one two"]})
+    assert langid.score_texts(model, model.code_table(), ["½ ² Ⅷ", "", "१२३"])[0] == ["und"] * 3
+
+
+def test_many_characters_need_no_dense_table():
+    r = random.Random(3)
+    text = "".join(chr(0x4E00 + r.randrange(6_000)) for _ in range(20_000))
+    model = langid.train({"zh": [text], "en": ["the and of"]})
+    assert len(model.owner) < 4 * 20_000 + 5 * 6_100
+    _, phrases = model.parse(model.code_table(), [text[500:1500]])
+    assert phrases[0, 1] == 1
 
 
 def test_languages_on_held_out(spark):
