@@ -13,8 +13,9 @@ batch; whole texts are read.
 
 Defined results: null and empty texts, and texts of white space only, score the
 share of good training documents; without training rows every score is 0.5.
-Ties cannot arise (each row is scored by itself), repeated rows repeat, an empty
-table gives an empty result, and only id and text are read.
+Ties cannot arise (a row's score doesn't depend on others), repeated rows repeat, an
+empty table gives an empty result, and only id and text are read, so other columns'
+names cannot clash. Very long texts are read whole; a slice holds at least one of them.
 """
 
 from __future__ import annotations
@@ -79,7 +80,8 @@ def line_features(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.n
         mixed *= weight
         hashed = np.add.reduceat(mixed, at)
         same = np.zeros(len(at), bool)
-        same[1:] = hashed[1:] == hashed[:-1]
+        of = np.searchsorted(bounds, at, "right")
+        same[1:] = (hashed[1:] == hashed[:-1]) & (of[1:] == of[:-1])
         repeat = np.zeros(len(raw), np.uint8)
         repeat[at[same]] = 1
         repeats = total(repeat)

@@ -114,6 +114,19 @@ def test_slices_keep_rows():
     assert bounds.tolist() == [0, 50, 51, 52, 52] and len(raw) == 52
 
 
+def test_quality_does_not_depend_on_the_batch():
+    model = quality.train([("Good text stands here. It goes on.\nAnd on.", 1), ("BUY NOW!!! buy buy buy | | |\n$$$ win win", 0)] * 5)
+    texts = ["ends with word", "word starts so", "word word", None, "", "word", " word\nword"]
+    whole, _ = quality.score_batch(model, pa.array(texts))
+    assert whole.tolist() == pytest.approx([quality.score_batch(model, pa.array([t], pa.string()))[0][0] for t in texts], abs=1e-9)
+
+
+def test_quality_of_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, score string")
+    for model in (None, quality.train([("a b.", 1), ("!!", 0)])):
+        assert quality.score(docs, model, id_bucket("doc_id", 5) == 0).count() == 0
+
+
 def chain_by_paths(emission, t):
     """Marginals by adding up all label sequences."""
     total, good = 0.0, np.zeros(len(emission))
