@@ -122,12 +122,16 @@ def segment_sum(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
+PIECE = 50_000
+
+
 class TokenTable(dict):
     """Numbers tokens in order of first sight and keeps one feature row for each.
 
     ``features(tokens)`` computes rows for new tokens only, so a token costs its
     evaluation once for each Python worker. Past ``most`` tokens the table is
-    emptied and fills again: a bound on memory, not on what is computed.
+    emptied and fills again: a bound on memory, not on what is computed. It is looked at
+    before each ``PIECE`` tokens or one longer document.
     """
 
     def __init__(self, features: Callable[[list[str]], np.ndarray], width: int, most: int = 300_000):
@@ -143,12 +147,18 @@ class TokenTable(dict):
 
     def lookup(self, documents: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
         """Feature rows of all tokens of all documents, and the token count of each."""
+        counts = np.fromiter(map(len, documents), np.int64, len(documents))
+        piece = np.cumsum(counts) // PIECE
+        cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(documents)]
+        parts = [self._rows(documents[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.concatenate(parts), counts
+
+    def _rows(self, documents: list[list[str]]) -> np.ndarray:
         if len(self) > self.most:
             self.clear()
-            self.used = 0
+            self.used, self.rows = 0, self.rows[:0]
         get = self.__getitem__
-        counts = np.fromiter(map(len, documents), np.int64, len(documents))
-        places = np.fromiter(map(get, chain.from_iterable(documents)), np.int64, int(counts.sum()))
+        places = np.fromiter(map(get, chain.from_iterable(documents)), np.int64)
         for start in range(0, len(self.new), 20_000):
             got = self.compute(self.new[start : start + 20_000])
             need = self.used + len(got)
@@ -157,7 +167,7 @@ class TokenTable(dict):
             self.rows[self.used : need] = got
             self.used = need
         self.new = []
-        return self.rows[places], counts
+        return self.rows[places]
 
 
 def bounded_sample(df: DataFrame, stratum: str, key: str, each: int, seed: int = 1, most_strata: int = 200) -> list:

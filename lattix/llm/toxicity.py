@@ -18,7 +18,8 @@ count. Span scores are kept by span in each worker.
 
 Defined results: null and empty texts, and texts without a letter, score that of
 no evidence (0); without training rows of both classes every score is 0; an empty
-table gives an empty result; repeated rows repeat; only id and text are read.
+table gives an empty result; repeated rows repeat; very long texts are read whole, a
+slice holds at least one of them; only id and text are read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -71,22 +72,25 @@ def windows(word: str) -> list[str]:
     return [whole[i : i + WINDOW] for i in range(0, len(whole) - WINDOW + STRIDE, STRIDE)]
 
 
-ALPHABET = 64  # codes of characters: 0 is padding and what training didn't have
+ALPHABET = 4_096  # codes of characters: 0 is padding and what training didn't have
+SLICE = 2 << 20  # bytes of text at a time
+SPREAD = 0x9E3779B97F4A7C15
 PATTERNS = [(0, *mid) for mid in combinations(range(1, SPAN), ORDER - 1)]
 
 
 class Strings:
-    """The explicit feature map of the kernel over an alphabet of at most 63 characters.
+    """The explicit feature map of the kernel over the characters of training strings.
 
     A feature is a subsequence of ``ORDER`` characters that spans at most ``SPAN``
     places; each occurrence adds ``DECAY ** (places spanned - ORDER)``. Features are
     numbered by their characters, so the map has ``ALPHABET ** ORDER`` dimensions of
-    which a string uses a few hundred at most.
+    which a string uses a few hundred at most. Characters past the ``ALPHABET - 1`` most
+    frequent ones share codes with others.
     """
 
     def __init__(self, words: list[str]):
         common = [c for c, _ in sorted(Counter("".join(words)).items(), key=lambda x: (-x[1], x[0]))]
-        self.code = {c: i + 1 for i, c in enumerate(common[: ALPHABET - 1])}
+        self.code = {c: i % (ALPHABET - 1) + 1 for i, c in enumerate(common)}
 
     def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, feature number and weight of every occurrence in every string."""
@@ -175,7 +179,7 @@ class ToxicityModel:
         self.slot_weight = np.zeros(self.size, np.float32)
         self.probes = 1
         for n in sorted(total):
-            k, tries = (n * 0x9E3779B1 >> 7) & (self.size - 1), 1
+            k, tries = ((n * SPREAD & 0xFFFFFFFFFFFFFFFF) >> 32) & (self.size - 1), 1
             while self.slot_number[k] >= 0:
                 k, tries = (k + 1) & (self.size - 1), tries + 1
             self.slot_number[k], self.slot_weight[k] = n, total[n]
@@ -191,7 +195,7 @@ class ToxicityModel:
 
     def _margins(self, words: list[str]) -> np.ndarray:
         rows, numbers, weights = self.strings.features(words)
-        k = (numbers * 0x9E3779B1 >> 7) & (self.size - 1)
+        k = ((numbers.astype(np.uint64) * np.uint64(SPREAD) >> np.uint64(32)) & np.uint64(self.size - 1)).astype(np.int64)
         value = np.where(self.slot_number[k] == numbers, self.slot_weight[k], np.float32(0))
         rest = np.flatnonzero((self.slot_number[k] != numbers) & (self.slot_number[k] >= 0))
         for _ in range(1, self.probes):
@@ -208,7 +212,7 @@ class ToxicityModel:
         """The margin of every span, its highest window's."""
         pieces, owner = [], []
         for i, s in enumerate(raw):
-            word = clean(s)
+            word = clean.__wrapped__(s)
             if len(word) > 1:
                 got = windows(word)
                 pieces.extend(got)
@@ -244,7 +248,7 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
     bags: list[tuple[int, set[str]]] = []
     counts = (Counter(), Counter())
     plain: Counter = Counter()
-    seen: set[int] = set()
+    seen: set[tuple[int, str, str]] = set()
     for doc, (text, label) in enumerate(sample):
         own: set[str] = set()
         for sentence in SENTENCE.split(text):
@@ -256,7 +260,7 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
                     for w in windows(word):
                         found.append(w)
                         # a string after the same word counts once, so copies of a document don't add up
-                        if (key := hash((label, w, before))) not in seen:
+                        if (key := (label, w, before)) not in seen:
                             seen.add(key)
                             counts[label].update({w, *(w[:k] for k in STEMS if k < len(w))})
                 before = word
@@ -388,7 +392,7 @@ def score(docs: DataFrame, model: ToxicityModel | None, held_out: Column) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         table = m and m.worker_table()
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", SLICE):
             got, words = score_texts(m, table, strings(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(got), pa.array((got >= THRESHOLD).astype(np.int32)), pa.array(words, pa.string())], names=["doc_id", "held_out", "score", "predicted", "span"])
 
@@ -404,4 +408,4 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel | None) -> DataFrame:
         table = m and m.worker_table()
         return lambda texts: (score_texts(m, table, texts)[0] < THRESHOLD).tolist()
 
-    return filter_texts(docs, judge)
+    return filter_texts(docs, judge, SLICE)

@@ -239,6 +239,29 @@ def test_toxicity_edge_cases(spark, toxic_model):
     assert {r["score"] for r in toxicity.score(odd(spark), None, id_bucket("doc_id", 3) == 1).collect()} == {0.0}
 
 
+def test_toxicity_of_an_empty_table(spark, toxic_model):
+    docs = spark.createDataFrame([], "doc_id long, text string, span string")
+    for model in (None, toxic_model[0]):
+        assert toxicity.score(docs, model, id_bucket("doc_id", 3) == 1).count() == 0
+        assert toxicity.drop_toxic(docs, model).columns == docs.columns
+
+
+def test_no_character_is_lost():
+    words = ["^" + "".join(chr(0x4E00 + (17 * i + k) % 5_000) for k in range(8)) + "$" for i in range(600)] + ["^ěščřžý$"]
+    s = toxicity.Strings(words)
+    assert min(toxicity.norms(s, words)) > 1
+    m = toxicity.ToxicityModel(s, words[-2:], np.array([0.0, 1.0]), 0.0)
+    assert m.margins(["^ěščřžý$", "^ěšxčřžý$", words[0]])[[0, 1]].min() > 0.4
+
+
+def test_table_of_tokens_is_bounded():
+    table = TokenTable(lambda new: np.array([[len(w)] for w in new], np.float32), 1, most=10)
+    docs = [[f"{i}" * (1 + i % 5)] * 3 for i in range(100)] + [[]]
+    rows, counts = table.lookup(docs)
+    assert counts.tolist() == [3] * 100 + [0] and rows[:, 0].tolist() == [len(w) for d in docs for w in d]
+    assert table.lookup([])[0].shape == (0, 1)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Home</a></nav>
 <article><h1>Big &amp; small</h1><p>One <b>bold</b>
  text.<p>Two<br>lines<script>var a="</p>";</script><aside>More</aside></article><footer>&copy; me</footer>"""
