@@ -134,8 +134,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 600_000):
         self.vocabulary = Vocabulary(ranks)
         self.pattern = regex.compile(pattern)
-        self.most = most
-        self.kept: dict[str, str] = _Kept(self)
+        self.kept: dict[str, str] = _Kept(self, most)
         self.bytes_of_decimal = {str(i): b for b, i in ranks.items()}
 
     def piece(self, piece: str) -> list[int]:
@@ -148,8 +147,6 @@ class Encoder:
 
     def decimal(self, text: str) -> str:
         """The ids of a text in decimal, joined by commas."""
-        if len(self.kept) > self.most:
-            self.kept.clear()
         return ",".join(map(self.kept.__getitem__, self.pattern.findall(text)))
 
     def decode_decimal(self, decimal: str) -> bytes:
@@ -160,11 +157,15 @@ class Encoder:
 
 
 class _Kept(dict):
-    def __init__(self, encoder: Encoder):
+    """Encodings of pieces; emptied when it holds ``most``."""
+
+    def __init__(self, encoder: Encoder, most: int):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.most = encoder, most
 
     def __missing__(self, piece: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
         self[piece] = ids = ",".join(map(str, self.encoder.piece(piece)))
         return ids
 
@@ -223,7 +224,7 @@ def digests(docs: DataFrame, rank_path: str, pattern: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_slot(("bpe", rank_path, pattern), lambda: Encoder(read_ranks(rank_path), pattern))
-        for batch in text_slices(batches, "text"):
+        for batch in text_slices(batches, "text", 4 << 20):
             counts, ids, decoded = [], [], []
             for text in strings(batch.column("text")):
                 decimal = encoder.decimal(text)
