@@ -11,12 +11,15 @@ The labels to learn from come from the markup of a bounded sample of pages: text
 within ``article`` or ``main`` is main text except within parts that are never so
 (menus, asides, forms, comments and the like), text outside is not. As other pages
 mark such parts differently, each sampled page is also rewritten in several ways,
-with the labels carried along: containers renamed, classes for tags, and menus,
-notices, adverts, forms, comments and sidebars of other pages' text put in.
+with the labels carried along: containers renamed, classes for tags or none, and
+menus, notices, adverts, forms, comments and sidebars of other pages' text put in.
+Some invented articles are rewritten likewise; where no sampled page has ``article``
+or ``main`` the labeller learns from those only.
 
 Defined results: null, empty and text-less pages give the empty text; pages cut off
 in the middle of a tag keep what stands before it; unclosed tags end with their
-container; scripts, styles, comments and templates hold no text; very long pages are
+container; scripts, styles, comments, templates and elements marked as hidden (the
+attribute, or display or visibility in their style) hold no text; very long pages are
 read whole; repeated rows repeat; an empty table gives an empty result; only id, url
 and html are read.
 """
@@ -48,10 +51,23 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""(class|id|role|itemprop|hidden)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+STYLE = re.compile(r"""\bstyle\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+QUOTED = re.compile(r"""=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)""")
+BARE_HIDDEN = re.compile(r"(?:^|[\s/])hidden(?=[\s/=]|$)")
 SPACE = re.compile(r"\s+")
 NAME = re.compile(r"[a-z]+")
 
 
+def is_hidden(attributes: str) -> bool:
+    """Whether an element is marked as not shown, by the attribute or by its style."""
+    if "hidden" not in (low := attributes.lower()) and "none" not in low:
+        return False
+    if (style := STYLE.search(low)) and UNSHOWN.search(style[0]):
+        return True
+    return bool(BARE_HIDDEN.search(QUOTED.sub("=''", low)))
+
+
 @dataclass
 class Block:
     path: tuple[str, ...]  # tag names and attribute words, outermost first
@@ -63,7 +79,7 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """The non-empty leaf blocks of a page in order."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[tuple[str, tuple[str, ...], bool]] = []  # name, words, whether it holds no visible text
     pieces: list[str] = []
     linked = links = hidden = 0
 
@@ -72,16 +88,16 @@ def blocks_of(page: str) -> list[Block]:
         if pieces:
             text = SPACE.sub(" ", html.unescape("".join(pieces))).strip()
             if text:
-                out.append(Block(tuple(w for _, words in stack for w in words), text, min(linked, len(text))))
+                out.append(Block(tuple(w for _, words, _ in stack for w in words), text, min(linked, len(text))))
             pieces.clear()
         linked = 0
 
     def pop_to(depth: int) -> None:
         nonlocal links, hidden
         while len(stack) > depth:
-            name, _ = stack.pop()
+            name, _, unseen = stack.pop()
             links -= name == "a"
-            hidden -= name in HIDDEN
+            hidden -= unseen
 
     at, size = 0, len(page)
     while at < size:
@@ -151,15 +167,17 @@ def blocks_of(page: str) -> list[Block]:
         if attributes:
             found = [(k.lower(), a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)]
             words += tuple(f".{w}" for _, v in found for w in NAME.findall(v.lower()))
-        stack.append((name, words))
+        unseen = name in HIDDEN or is_hidden(attributes)
+        stack.append((name, words, unseen))
         links += name == "a"
-        hidden += name in HIDDEN
+        hidden += unseen
     if not hidden:
         close()
     return out
 
 
-PATH_DIM, WORD_DIM, MEASURES, HIDDEN_DIM = 24, 8, 10, 16
+MOST_BLOCKS = 8_000  # of pages that are labelled together, or one page
+PATH_DIM, WORD_DIM, MEASURES, HIDDEN_DIM = 48, 8, 10, 16
 INPUT = PATH_DIM + WORD_DIM + MEASURES
 
 _signs: dict[tuple[str, int], np.ndarray] = {}
@@ -273,8 +291,8 @@ class Labeller:
     def parts(self) -> list[np.ndarray]:
         return [self.wx, self.wh, self.b, self.out, self.bias]
 
-    def forward(self, x: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, list]:
-        """Logits of padded sequences (batch, time); what a backward pass needs."""
+    def forward(self, x: np.ndarray, mask: np.ndarray, learning: bool = False) -> tuple[np.ndarray, list]:
+        """Logits of padded sequences (batch, time); while learning also what a backward pass needs."""
         n, t, _ = x.shape
         h = HIDDEN_DIM
         states = np.zeros((2, n, t, h), np.float32)
@@ -291,7 +309,8 @@ class Labeller:
                 new_cell = m * (s[:, h : 2 * h] * cell + s[:, :h] * g)
                 tc = np.tanh(new_cell)
                 new = m * (s[:, 2 * h :] * tc)
-                steps.append((j, s, g, cell, hid, tc))
+                if learning:
+                    steps.append((j, s, g, cell, hid, tc))
                 hid, cell = new, new_cell
                 states[d, :, j] = hid
             keep.append(steps)
@@ -300,7 +319,7 @@ class Labeller:
 
     def gradient(self, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tuple[float, list[np.ndarray]]:
         h = HIDDEN_DIM
-        logits, (states, keep) = self.forward(x, mask)
+        logits, (states, keep) = self.forward(x, mask, learning=True)
         p = 1 / (1 + np.exp(-np.clip(logits, -30, 30)))
         total = mask.sum()
         loss = float(-(mask * (y * np.log(p + 1e-7) + (1 - y) * np.log(1 - p + 1e-7))).sum() / total)
@@ -330,7 +349,7 @@ class Labeller:
         while at < len(order):
             longest = len(pages[order[at]])
             group = [order[at]]
-            while at + len(group) < len(order) and len(group) < 256 and len(pages[order[at + len(group)]]) <= 1.15 * longest + 2:
+            while at + len(group) < len(order) and (len(group) + 1) * len(pages[order[at + len(group)]]) < MOST_BLOCKS and len(pages[order[at + len(group)]]) <= 1.15 * longest + 2:
                 group.append(order[at + len(group)])
             at += len(group)
             x, mask = padded([inputs(pages[i]) for i in group])
@@ -348,6 +367,7 @@ def padded(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x, mask
 
 
+SYLLABLES = "ba co de el fi gu ha in jo ka lo me no or pe qui ra so tu ve wi xa yo za st en th er".split()
 MAIN = frozenset(("article", "main"))
 #: Words of tag names and attributes that mark a part as no main text.
 ASIDE = frozenset("nav aside footer header form button menu dialog .ad .ads .advert .advertisement .banner .comment .comments .cookie .consent .newsletter .notice .promo .related .share .sidebar .sponsor .subscribe .breadcrumb .breadcrumbs .popup .modal .widget .replies .reply".split())
@@ -364,10 +384,10 @@ def weak_label(path: tuple[str, ...]) -> int:
     return int(inside)
 
 
-CONTAINERS = [("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post", ".body"), ("div", ".entry", ".content"), ("section", ".article"), ("div", ".main"), ("div", ".story"), ("div", ".text"), ("main", "div"), ("article", "section"), ("div", ".article", ".body"), ("div", ".wrapper", "article", ".post")]
-BEFORE = [("nav", "ul", "li", "a"), ("div", ".menu", "a"), ("div", ".navigation", "ul", "li", "a"), ("header", "a"), ("header", "div", ".logo"), ("div", ".header"), ("ul", ".nav", "li", "a"), ("div", ".ad"), ("div", ".banner"), ("div", ".cookie", ".notice"), ("div", ".breadcrumb", "a"), ("div", ".topbar"), ("div", ".alert"), ("form", ".search"), ("header", "h2"), ("header", "p")]
+CONTAINERS = [(), ("div",), ("div", "div"), ("table", "tr", "td"), ("article",), ("main",), ("main", "article"), ("div", ".content"), ("div", ".post", ".body"), ("div", ".entry", ".content"), ("section", ".article"), ("div", ".main"), ("div", ".story"), ("div", ".text"), ("main", "div"), ("article", "section"), ("div", ".article", ".body"), ("div", ".wrapper", "article", ".post")]
+BEFORE = [("div", "a"), ("ul", "li", "a"), ("p", "a"), ("table", "tr", "td", "a"), ("nav", "ul", "li", "a"), ("div", ".menu", "a"), ("div", ".navigation", "ul", "li", "a"), ("header", "a"), ("header", "div", ".logo"), ("div", ".header"), ("ul", ".nav", "li", "a"), ("div", ".ad"), ("div", ".banner"), ("div", ".cookie", ".notice"), ("div", ".breadcrumb", "a"), ("div", ".topbar"), ("div", ".alert"), ("form", ".search"), ("header", "h2"), ("header", "p")]
 WITHIN = [("div", ".ad"), ("aside",), ("aside", "p"), ("div", ".related", "ul", "li", "a"), ("div", ".share", "a"), ("form",), ("form", ".newsletter", "p"), ("div", ".promo"), ("div", ".sponsored"), ("nav", ".toc", "li", "a"), ("div", ".notice"), ("section", ".comments", "p"), ("footer",)]
-AFTER = [("footer",), ("footer", "p"), ("div", ".footer"), ("aside", ".sidebar", "p"), ("div", ".sidebar", "ul", "li", "a"), ("div", ".sidebar", "p"), ("aside", "div", ".widget"), ("section", ".comments", "p"), ("div", ".comments", "div", ".comment", "p"), ("div", ".comment"), ("ol", ".commentlist", "li", "p"), ("div", ".related", "a"), ("div", ".ad"), ("form", ".subscribe", "p"), ("div", ".newsletter"), ("div", ".copyright"), ("div", ".cookie"), ("aside",), ("section", ".reader", ".comments", "article", ".comment", "p"), ("div", ".responses", "p")]
+AFTER = [("div", "a"), ("ul", "li", "a"), ("p", "a"), ("footer",), ("footer", "p"), ("div", ".footer"), ("aside", ".sidebar", "p"), ("div", ".sidebar", "ul", "li", "a"), ("div", ".sidebar", "p"), ("aside", "div", ".widget"), ("section", ".comments", "p"), ("div", ".comments", "div", ".comment", "p"), ("div", ".comment"), ("ol", ".commentlist", "li", "p"), ("div", ".related", "a"), ("div", ".ad"), ("form", ".subscribe", "p"), ("div", ".newsletter"), ("div", ".copyright"), ("div", ".cookie"), ("aside",), ("section", ".reader", ".comments", "article", ".comment", "p"), ("div", ".responses", "p")]
 
 
 def rewritten(blocks: list[Block], r: random.Random, texts: list[str]) -> list[Block]:
@@ -382,21 +402,26 @@ def rewritten(blocks: list[Block], r: random.Random, texts: list[str]) -> list[B
     def part(kinds: list[tuple[str, ...]], base: tuple[str, ...], most: int) -> list[Block]:
         out = []
         for _ in range(r.randrange(most + 1)):
-            path = base + r.choice(kinds)
+            kind = r.choice(kinds)
+            link = kind[-1] == "a"  # a block's path doesn't hold the link that was closed within it
+            path = base + kind[: len(kind) - link]
             for _ in range(r.choice((1, 1, 2, 3, 6))):
                 text = r.choice(texts)
-                if "a" in path:
+                if link:
                     text = " ".join(text.split()[: r.randrange(1, 5)])
                 elif r.random() < 0.5:
                     text = " ".join(text.split()[: r.randrange(2, 20)])
                 if text:
-                    out.append(Block(path, text, len(text) if "a" in path else 0, 0))
+                    out.append(Block(path, text, len(text) if link else 0, 0))
         return out
 
     main = []
+    no_p = r.random() < 0.2  # pages whose paragraphs are plain divisions
     for b in blocks:
         if b.own:
             inner = b.path[next((i for i, w in enumerate(b.path) if w in MAIN), 0) + 1 :]
+            if no_p:
+                inner = tuple("div" if w == "p" else w for w in inner)
             kind = r.random()
             if kind < 0.1:
                 inner = r.choice((("div",), ("section", "p"), ("blockquote", "p"), ("ul", "li"), ("table", "tr", "td"), ("pre",), ("h2",), ("div", "p"), ("figure", "figcaption")))
@@ -408,8 +433,27 @@ def rewritten(blocks: list[Block], r: random.Random, texts: list[str]) -> list[B
     return part(BEFORE, root, 4) + main + part(AFTER, root if r.random() < 0.8 else container, 4)
 
 
-def train(pages: list[str], copies: int = 6, epochs: int = 12, seed: int = 11) -> Labeller:
-    """Learn from sample pages, each as it is and ``copies`` times rewritten."""
+def invented(r: random.Random) -> list[Block]:
+    """An article of made-up words: headings, paragraphs, lists, a quotation."""
+    word = lambda: "".join(r.choice(SYLLABLES) for _ in range(r.choice((1, 1, 2, 2, 3))))
+    line = lambda n: " ".join(word() for _ in range(n)).capitalize()
+    text = lambda n: " ".join(line(r.randrange(4, 16)) + r.choice(".....?!") for _ in range(n))
+    out = [Block(("article", "h1"), line(r.randrange(2, 9)), 0, 1)]
+    for _ in range(r.randrange(1, 9)):
+        kind = r.random()
+        if kind < 0.1:
+            out.append(Block(("article", "h2"), line(r.randrange(1, 6)), 0, 1))
+        elif kind < 0.18:
+            out += [Block(("article", "ul", "li"), line(r.randrange(2, 14)), 0, 1) for _ in range(r.randrange(2, 6))]
+        elif kind < 0.22:
+            out.append(Block(("article", "blockquote", "p"), text(2), 0, 1))
+        else:
+            out.append(Block(("article", "p"), text(r.randrange(1, 6)), 0, 1))
+    return out
+
+
+def train(pages: list[str], copies: int = 6, epochs: int = 12, seed: int = 11, made_up: int = 60) -> Labeller:
+    """Learn from sample pages, each as it is and ``copies`` times rewritten, and from ``made_up`` invented ones likewise."""
     model = Labeller.fresh()
     r = random.Random(seed)
     kept: list[list[Block]] = []
@@ -419,11 +463,10 @@ def train(pages: list[str], copies: int = 6, epochs: int = 12, seed: int = 11) -
             b.own = weak_label(b.path)
         if any(b.own for b in blocks):
             kept.append(blocks)
-    if not kept:
-        return model
-    texts = [b.text for p in kept for b in p]
+    own = [invented(r) for _ in range(made_up if kept else 4 * made_up)]
+    texts = [b.text for p in kept + own for b in p]
     r.shuffle(texts)
-    data = kept + [rewritten(p, r, texts) for p in kept for _ in range(copies)]
+    data = kept + [rewritten(p, r, texts) for p in kept + own for _ in range(copies)]
     # long pages are learnt from in stretches; they are labelled whole
     data = [p[k : k + 80] for p in data for k in range(0, len(p), 80)]
     ready = [(inputs(p), np.array([b.own for b in p], np.float32)) for p in data if p]

@@ -3,6 +3,7 @@
 import itertools
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -324,3 +325,54 @@ def test_html_inputs_read_all_words_of_a_block():
     assert not np.allclose(row("buy it now today"), row("the sea was calm"))
     many = row(" ".join(f"w{i}" for i in range(120_000)))
     assert np.isfinite(many).all() and np.linalg.norm(many[html_extract.PATH_DIM :][: html_extract.WORD_DIM]) < 1
+
+
+#: Pages written by hand, with their main text; none follows the rules that made the labels.
+HAND = [
+    (
+        "<body><div><a href=/>Start</a> <a href=/n>News</a> <a href=/s>Sport</a></div><div><h1>Ferry service resumes</h1><div>The ferry between the two islands sails again from Monday, the port authority said.</div>"
+        "<div>Repairs took six weeks, because a part had to be made anew in a small works up north.</div></div><div><a href=/i>Imprint</a> <a href=/p>Privacy</a></div></body>",
+        "Ferry service resumes The ferry between the two islands sails again from Monday, the port authority said. Repairs took six weeks, because a part had to be made anew in a small works up north.",
+    ),
+    (
+        "<body><header><h2>The Daily Bee</h2></header><main><h1>How to prune roses</h1><p>Cut in early spring, when the buds begin to swell. Use a sharp knife.</p><aside>More on gardens</aside><p>Remove dead wood first, then cut back to an outward bud.</p>"
+        "<form>Subscribe <input name=m> <button>Go</button></form></main><section class=comments><p>Great advice, thank you so much for this one!</p></section><footer>© The Bee</footer></body>",
+        "How to prune roses Cut in early spring, when the buds begin to swell. Use a sharp knife. Remove dead wood first, then cut back to an outward bud.",
+    ),
+    (
+        "<body><div class='cookie notice'>We use cookies on this site. Accept all?</div><nav><a href=a>A</a><a href=b>B</a></nav><div class='post body'><h1>Rain expected</h1><p>Heavy rain will reach the coast tonight, and strong winds will follow it.</p>"
+        "<p hidden>Secret text that is not shown to anyone at all.</p><p style='color:red; display: none'>Another one that is not shown.</p><ul><li>Stay at home if you can.</li><li>Keep the windows shut.</li></ul></div><div class=sidebar><p>Read our other stories</p></div></body>",
+        "Rain expected Heavy rain will reach the coast tonight, and strong winds will follow it. Stay at home if you can. Keep the windows shut.",
+    ),
+    (
+        "<body><ul class=nav><li><a href=1>One</a><li><a href=2>Two</a></ul><article class=story><header><h1>Old bridge &amp; new road</h1></header><p>The bridge was closed in June. It is over a hundred years old, and its stones are loose.</p><div class=ad>Buy two, get one free</div>"
+        "<blockquote><p>We will miss it, said a neighbour.</p></blockquote></article><div class=related><a href=3>Ten bridges to see</a></div><footer><p>All rights reserved.</p></footer></body>",
+        "Old bridge & new road The bridge was closed in June. It is over a hundred years old, and its stones are loose. We will miss it, said a neighbour.",
+    ),
+    (
+        "<body><table><tr><td><a href=x>Home</a></td><td><a href=y>Archive</a></td></tr></table><section class=article><h1>A cat of nine years</h1><p>Our cat likes to sleep on warm stones. In winter she sleeps by the stove.</p><p>She came to us as a kitten, one wet evening in autumn.</p></section>"
+        "<div class=newsletter>Get our letter each week</div><div class=copyright>© 2021</div></body>",
+        "A cat of nine years Our cat likes to sleep on warm stones. In winter she sleeps by the stove. She came to us as a kitten, one wet evening in autumn.",
+    ),
+]
+
+
+def overlap(got, want):
+    a, b = Counter(got.split()), Counter(want.split())
+    both = sum((a & b).values())
+    return 2 * both / max(1, sum(a.values()) + sum(b.values()))
+
+
+@pytest.mark.parametrize(("learned", "mean"), [(True, 0.93), (False, 0.93)])
+def test_pages_written_by_hand(spark, learned, mean):
+    pages = [r["html"] for r in spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(200).collect()] if learned else ["<div>no article here</div>"]
+    got = html_extract.extract_texts(html_extract.train(pages), [h for h, _ in HAND])
+    scores = [overlap(g, w) for g, (_, w) in zip(got, HAND, strict=True)]
+    assert np.mean(scores) > mean, (scores, got)
+
+
+def test_hidden_elements():
+    text = lambda page: [b.text for b in html_extract.blocks_of(page)]
+    assert text("<p hidden>a</p><p>b</p>") == ["b"] and text("<div class='hidden x'>a</div>") == ["a"]
+    assert text("<div style=\"display:none\"><p>a</p></div>b") == ["b"] and text("<p data-x='not hidden'>a</p>") == ["a"]
+    assert text("a <span hidden=until-found>b</span> c") == ["a c"] and text("<p style='display:block'>a none</p>") == ["a none"]
