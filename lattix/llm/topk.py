@@ -4,8 +4,9 @@ Components are floor(64 x) as integers. A bounded set of vectors serves as pivot
 the table keeps every vector's distances to all of them. By the triangle inequality
 ``|d(q, p) - d(v, p)|`` is at most ``d(q, v)`` for every pivot p, so the largest such
 difference is a lower bound on the distance, and ``(|q|^2 + |v|^2 - bound^2) / 2`` an
-upper bound on the score. Candidates of a query are evaluated in the order of that
-bound and the rest is left as soon as no bound reaches the k-th score found.
+upper bound on the score. Candidates are evaluated in the order of that bound, for a
+tile of queries together, and the rest is left as soon as no bound reaches the k-th
+score found by any of them.
 
 Vectors are dealt to blocks by the hash of id and content, so copies spread; queries
 are dealt to groups of bounded size and go to every block (the stated query set
@@ -16,9 +17,10 @@ elimination in all blocks. The best k of each block meet per query at the end.
 Defined results: vectors that are null, or hold null or non-finite components, take
 no part; vectors whose length differs from the query's are no candidates; ties go to
 the smaller vec_id; a repeated row is a candidate as often as it appears, and a query
-row never meets itself but meets other rows with its id; null ids take no part; with
-fewer than k candidates all are returned; an empty table gives an empty result; only
-id and vector are read.
+row never meets itself but meets other rows with its id (rows are numbered in a table
+written once); null ids take no part; with fewer than k candidates all are returned;
+scores are exact, and one that no long holds raises an error; an empty table gives an
+empty result; only id and vector are read, so other columns' names cannot clash.
 """
 
 from __future__ import annotations
@@ -32,15 +34,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 SCHEMA = "query_row long, query_id long, vec_id long, score long, evaluated long"
 
 
 def integers(embeddings: DataFrame) -> DataFrame:
-    """vec_id, its integer vector and a number that tells equal rows apart, without the rows that take no part."""
+    """vec_id, 64 times its vector and a number that tells equal rows apart, without the rows that take no part."""
     x = F.col("embedding")
     plain = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), x)
-    usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < 1e15), F.lit(False)))
-    vectors = F.transform(x, lambda c: F.floor(F.lit(64) * c.cast("double")).cast("long"))
+    limit = F.lit(float("inf"))
+    usable = F.col("vec_id").isNotNull() & x.isNotNull() & F.forall(x, lambda c: F.coalesce(~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < limit), F.lit(False)))
+    vectors = F.transform(x, lambda c: F.lit(64.0) * c.cast("double"))  # rounded down where they are read
     return plain.where(usable).select("vec_id", vectors.alias("vector"), F.monotonically_increasing_id().alias("row"))
 
 
@@ -51,7 +56,7 @@ class PivotTable:
     scores are exact.
     """
 
-    FIRST, TILE = 256, 64
+    TILE, FIRST, STEP = 64, 256, 2_048
 
     def __init__(self, rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, pivots: np.ndarray):
         self.rows, self.ids, self.vectors = rows, ids, vectors
@@ -77,14 +82,12 @@ class PivotTable:
             low -= np.float32(1e-4) * np.sqrt(both)
             np.maximum(low, 0, out=low)
             out[:, part] = (both - low * low) * np.float32(0.5) + both * np.float32(1e-5) + 1
-        return out
+        return np.where(np.isnan(out), np.float32(np.inf), out)  # beyond single precision: no bound
 
     def top(self, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
         """For each query its k best (score, id) and how many vectors were evaluated.
 
-        ``floors`` are scores that k vectors are known to reach. The vectors of the highest
-        bounds come first; their scores raise the floor, and only vectors whose bound
-        reaches it are evaluated then.
+        ``floors`` are scores that k vectors are known to reach; they rise as scores are found.
         """
         out = []
         for at in range(0, len(queries), self.TILE):
@@ -92,34 +95,33 @@ class PivotTable:
         return out
 
     def _tile(self, query_rows: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray) -> list[tuple[list[tuple[int, int]], int]]:
-        n = len(self.ids)
         bound = self.bounds(queries)
+        start = np.where(np.isfinite(floors), floors, 0.0)
+        above = (bound - start[:, None]).max(0) if len(bound) else np.zeros(len(self.ids))
+        order = np.argsort(-above, kind="stable")
         done = np.zeros(len(queries), np.int64)
         best: list[list[tuple[int, int]]] = [[] for _ in queries]
-
-        def meet(q: int, places: np.ndarray, scores: np.ndarray) -> None:
-            keep = (scores >= floors[q]) & (self.rows[places] != query_rows[q])
-            best[q] = sorted(best[q] + list(zip((-scores[keep]).tolist(), self.ids[places[keep]].tolist(), strict=True)))[:k]
-            if len(best[q]) == k:
-                floors[q] = max(floors[q], -best[q][-1][0])
-
-        if n > 4 * self.FIRST:
-            first = np.argpartition(-bound, self.FIRST, axis=1)[:, : self.FIRST]
-            for q in range(len(queries)):
-                meet(q, first[q], dot(self.vectors[first[q]], queries[q]))
-                bound[q, first[q]] = -np.inf
-                done[q] += self.FIRST
-        open_ = bound >= floors[:, None]
-        columns = np.flatnonzero(open_.any(0))
-        for start in range(0, len(columns), 4_096):
-            some = columns[start : start + 4_096]
+        at = end = 0
+        while end < len(order):
+            at, end = end, end + min(self.STEP, max(self.FIRST, end))
+            # no later vector's bound is further above any query's floor than this one's was at the start
+            if above[order[at]] < (floors - start).min():
+                break
+            some = order[at:end]
+            open_ = bound[:, some] >= floors[:, None]
+            if not open_.any():
+                continue
             scores = dot(self.vectors[some], queries.T).T
-            use = open_[:, some]
-            done += use.sum(1)
-            hit = use & (scores >= floors[:, None])
-            for q in np.flatnonzero(hit.any(1)):
+            done += open_.sum(1)
+            hit = open_ & (scores >= floors[:, None]) & (self.rows[some][None, :] != query_rows[:, None])
+            for q in np.flatnonzero(hit.any(1)).tolist():
                 places = np.flatnonzero(hit[q])
-                meet(q, some[places], scores[q, places])
+                if len(places) > 4 * k:  # those below the k-th highest are out, but for ties
+                    least = np.partition(scores[q, places], len(places) - k)[len(places) - k]
+                    places = places[scores[q, places] >= least]
+                best[q] = sorted(best[q] + list(zip((-scores[q, places]).tolist(), self.ids[some[places]].tolist(), strict=True)))[:k]
+                if len(best[q]) == k:
+                    floors[q] = max(floors[q], -best[q][-1][0])
         return [([(-s, i) for s, i in b], int(d)) for b, d in zip(best, done, strict=True)]
 
 
@@ -129,7 +131,11 @@ def dot(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     for kind, most in ((np.float32, 1 << 24), (np.float64, 1 << 52)):
         if top < most:
             return (vectors.astype(kind) @ query.astype(kind)).astype(np.int64)
-    return (vectors.astype(object) @ query.astype(object)).astype(np.int64)
+    whole = lambda x: np.array([int(c) for c in x.ravel()], object).reshape(x.shape)
+    exact = whole(vectors) @ whole(query)
+    if any(not -(1 << 63) <= c < 1 << 63 for c in np.ravel(exact)):
+        raise OverflowError("a score is beyond the range of a long")
+    return exact.astype(np.int64)
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,7 +165,7 @@ def by_dimension(rows: pa.Array, ids: pa.Array, vectors: pa.Array) -> dict[int,
     """Row numbers, ids and vectors as arrays, by the vectors' length."""
     size = np.asarray(pa.compute.list_value_length(vectors)).astype(np.int64)
     row, key = np.asarray(rows), np.asarray(ids)
-    flat, ends = np.asarray(vectors.flatten()).astype(np.int64), np.cumsum(size)
+    flat, ends = np.floor(np.asarray(vectors.flatten()).astype(np.float64)), np.cumsum(size)
     out = {}
     for d in np.unique(size).tolist():
         mine = np.flatnonzero(size == d)
@@ -167,14 +173,14 @@ def by_dimension(rows: pa.Array, ids: pa.Array, vectors: pa.Array) -> dict[int,
     return out
 
 
-def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 16, sample: int = 2_000, block_rows: int = 20_000, group_rows: int = 2_000) -> DataFrame:
+def search(embeddings: DataFrame, is_query, k: int = 20, pivots: int = 32, sample: int = 2_000, block_rows: int = 20_000, group_rows: int = 10_000) -> DataFrame:
     """The ``k`` best candidates of every row that ``is_query`` marks.
 
     ``sample`` bounds the vectors that are sent to all tasks (pivots are chosen from
     them); ``block_rows`` and ``group_rows`` set the mean sizes of a block and a group.
     """
-    vectors = integers(embeddings).withColumn("query", is_query)
-    total = embeddings.count()
+    vectors = materialize(integers(embeddings).withColumn("query", is_query), "vectors")
+    total = vectors.count()
     blocks = max(1, -(-total // block_rows))
     queries = vectors.where("query").count()
     groups = max(1, -(-queries // group_rows))

@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from lattix.llm import topk
@@ -39,6 +40,15 @@ def test_nulls_repeats_ties_and_lengths(spark):
     assert run(spark, []) == []
 
 
+def test_large_finite_components_take_part(spark):
+    rows = [(0, [1e16, 1.0]), (4, [0.001, 2.0]), (1, [-1e16, 3.0]), (2, [1.0, 1.0])]
+    rows = [(i, np.array(v, "f4").tolist()) for i, v in rows]
+    small = [(i, v) for i, v in rows if i != 0] + [(3, rows[0][1])]
+    assert run(spark, small) == brute(small, 5, 4)
+    with pytest.raises(Exception, match="beyond the range"):
+        run(spark, [(0, [1e16, 1.0]), (4, [1e16, 2.0])])
+
+
 def test_many_copies(spark):
     rows = [(i, [0.1, 0.2, 0.3]) for i in range(2000)]
     assert run(spark, rows, 3, 500, block_rows=300) == brute(rows, 3, 500)
@@ -59,5 +69,5 @@ def test_elimination_stops_early_and_is_exact():
 
 
 def test_large_numbers_stay_exact():
-    v = np.array([[10**9, 3], [10**9, 4]])
+    v = np.array([[10**9, 3], [10**9, 4]], float)
     assert topk.dot(v, np.array([10**9, 1])).tolist() == [10**18 + 3, 10**18 + 4]
