@@ -8,8 +8,8 @@ count alone: null counts as the empty text.
 
 Copies collapse before the shuffle (partial aggregation by digest), so a group of
 copies costs one encoding and one shuffled text a task. Joining the counts back
-moves ids and digests, never texts; a digest of very many rows is split by adaptive
-execution's skew join.
+moves ids and digests, never texts; rows of a digest that very many rows have are dealt
+to several tasks by salt, whose number follows from the digest's count.
 
 Defined results: null and empty texts have 0 bytes and what the library gives for
 the empty text; an empty table gives an empty result and leaves the cache as it was;
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import materialize, text_slices
 
 CACHE_SCHEMA = "digest binary, tokenizer string, n_tokens long"
 
@@ -83,10 +83,25 @@ def fill_cache(docs: DataFrame, path: str, cache: str) -> str:
     return version
 
 
+HOT_ROWS, HOT_DIGESTS = 1_000, 100_000  # rows of one digest that go to one task at least; most digests that are salted
+
+
+def _hot(keyed: DataFrame) -> DataFrame:
+    """Digests that more rows have than one task shall join, and to how many tasks these go; at most ``HOT_DIGESTS``."""
+    most = max(HOT_ROWS, -(-keyed.count() // HOT_DIGESTS))
+    counts = keyed.groupBy("digest").agg(F.count("*").alias("rows")).where(F.col("rows") > most)
+    return counts.select("digest", F.ceil(F.col("rows") / most).cast("int").alias("salts"))
+
+
 def count_tokens(docs: DataFrame, path: str, cache: str, limit: int) -> DataFrame:
     """Bytes, tokens and whether the tokens exceed ``limit`` for every document."""
     version = fill_cache(docs, path, cache)
     known = read_cache(docs.sparkSession, cache, version)
     content = F.coalesce("text", F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
-    return keyed.join(known, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    keyed = materialize(keyed, "digests")
+    salts = F.broadcast(_hot(keyed))
+    left = keyed.join(salts, "digest", "left").withColumn("salt", (F.monotonically_increasing_id() % F.coalesce("salts", F.lit(1))).cast("int"))
+    right = known.join(salts, "digest", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)))
+    joined = left.join(right.select("digest", "salt", "n_tokens"), ["digest", "salt"], "left")
+    return joined.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
