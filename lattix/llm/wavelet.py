@@ -9,7 +9,8 @@ number of occurrences in a range and the place of the k-th occurrence can be rea
 without decoding the rest.
 
 Files are Parquet written by Spark (its commit protocol covers lost executors), one
-row a block. Words (text between spaces and line ends) are encoded by the library
+file a shard and one row a block of about a million tokens, so memory stays bounded;
+``access``, ``count`` and ``occurrence`` answer for all files by places among all ids. Words (text between spaces and line ends) are encoded by the library
 once each a worker: its normaliser and splitter treat them by themselves.
 
 Defined results: null and empty texts consist of the end id; null doc_ids come
@@ -27,7 +28,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -238,21 +239,6 @@ class WordEncoder:
         return ids, np.diff(ends, prepend=0)
 
 
-class _Numbers(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-    def take(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-
 class _Pool:
     """Short id lists one after another."""
 
@@ -336,12 +322,84 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     ranged.mapInArrow(run, BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
+RUN = 4_096  # shards whose totals one window adds up
+
+
+def _running(blocks: DataFrame, value: str) -> DataFrame:
+    """``shard, block, before, <value>``: the sum of ``value`` over all blocks before each.
+
+    In three steps (blocks of a shard, shards of a run, runs), so that the only window in
+    one task has a row for each ``RUN`` shards.
+    """
+
+    def before(window) -> Column:
+        return F.sum(value).over(window.rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col(value)
+
+    run = F.floor(F.col("shard") / RUN).alias("run")
+    shards = blocks.groupBy("shard").agg(F.sum(value).alias(value))
+    runs = shards.groupBy(run).agg(F.sum(value).alias(value)).select("run", before(W.orderBy("run")).alias("before_run"))
+    placed = shards.select("shard", run, before(W.partitionBy(run).orderBy("shard")).alias("before_shard")).join(runs, "run")
+    own = blocks.select("shard", "block", value, before(W.partitionBy("shard").orderBy("block")).alias("before_block"))
+    return own.join(placed, "shard").select("shard", "block", (F.col("before_run") + F.col("before_shard") + F.col("before_block")).alias("before"), value)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(BLOCK_SCHEMA).parquet(path)
+
+
+def access(spark: SparkSession, path: str, at: int) -> int:
+    """The id at a place among all ids of the files, from the one block that has it."""
+    places = _running(_files(spark, path).select("shard", "block", "n_tokens"), "n_tokens")
+    found = places.where((F.col("before") <= at) & (F.col("before") + F.col("n_tokens") > at)).first()
+    if found is None:
+        raise IndexError(at)
+    return _matrix(spark, path, found).access(at - found["before"])
+
+
+def _matrix(spark: SparkSession, path: str, where) -> WaveletMatrix:
+    row = _files(spark, path).where((F.col("shard") == where["shard"]) & (F.col("block") == where["block"])).select("matrix").first()
+    return WaveletMatrix.from_bytes(row["matrix"])
+
+
+def _counted(spark: SparkSession, path: str, token: int, begin: int = 0, end: int | None = None) -> DataFrame:
+    """Occurrences of ``token`` in each block, by rank on its matrix."""
+    blocks = _files(spark, path)
+    if begin > 0 or end is not None:
+        blocks = blocks.join(_running(blocks.select("shard", "block", "n_tokens"), "n_tokens").drop("n_tokens"), ["shard", "block"])
+        blocks = blocks.where(F.col("before") + F.col("n_tokens") > begin)
+        blocks = blocks.where(F.col("before") < end) if end is not None else blocks
+    else:
+        blocks = blocks.withColumn("before", F.lit(0).cast("long"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts = [WaveletMatrix.from_bytes(r["matrix"]).count(token, max(0, begin - r["before"]), None if end is None else max(0, end - r["before"])) for r in batch.select(["before", "matrix"]).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("shard"), batch.column("block"), pa.array(counts, pa.int64())], names=["shard", "block", "found"])
+
+    return blocks.select("shard", "block", "before", "matrix").mapInArrow(run, "shard int, block int, found long")
+
+
+def count(spark: SparkSession, path: str, token: int, begin: int = 0, end: int | None = None) -> int:
+    """Occurrences of ``token`` among places ``begin`` to ``end`` of the files."""
+    return _counted(spark, path, token, begin, end).agg(F.coalesce(F.sum("found"), F.lit(0))).first()[0]
+
+
+def occurrence(spark: SparkSession, path: str, token: int, k: int) -> int:
+    """The place of the k-th (from 0) occurrence of ``token`` in the files; -1 if there are fewer."""
+    found = _running(_counted(spark, path, token), "found").where((F.col("before") <= k) & (F.col("before") + F.col("found") > k)).first()
+    if found is None:
+        return -1
+    starts = _running(_files(spark, path).select("shard", "block", "n_tokens"), "n_tokens")
+    first = starts.where((F.col("shard") == found["shard"]) & (F.col("block") == found["block"])).first()["before"]
+    return first + _matrix(spark, path, found).occurrence(token, k - found["before"])
+
+
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """Per document its first place among all ids, its number of ids and their crc32, read from the files.
 
-    The start of a block is a running sum over one row for each block.
+    The start of a block is a running sum over the blocks.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
+    blocks = _files(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -356,6 +414,5 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["shard"], np.int32)), pa.array(np.full(n, r["block"], np.int32)), pa.array(np.frombuffer(r["doc_ids"], "<i8"), mask=~known), pa.array(first), pa.array(length), pa.array(crc, pa.int64())], names=["shard", "block", "doc_id", "first", "n_tokens", "ids_crc32"])
 
     decoded = blocks.select("shard", "block", "n_docs", "doc_ids", "known_ids", "lengths", "matrix").mapInArrow(run, "shard int, block int, doc_id long, first long, n_tokens long, ids_crc32 long")
-    before = F.sum("n_tokens").over(W.orderBy("shard", "block").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("n_tokens")
-    starts = blocks.select("shard", "block", "n_tokens").select("shard", "block", before.alias("before"))
+    starts = _running(blocks.select("shard", "block", "n_tokens"), "n_tokens").drop("n_tokens")
     return decoded.join(starts, ["shard", "block"]).select("doc_id", (F.col("before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")

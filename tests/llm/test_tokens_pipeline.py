@@ -50,6 +50,15 @@ def test_counts_and_cache(spark):
     assert tokencount.count_tokens(docs.limit(0), path, new_path(spark, "test-cache"), 5).count() == 0
 
 
+def test_counts_of_hot_digests(spark, monkeypatch):
+    monkeypatch.setattr(tokencount, "HOT_ROWS", 4)
+    rows = [(i, ["", None, "the cat", "a", "b"][i % 5]) for i in range(100)] + [(None, "rare")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    library = sentencepiece.SentencePieceProcessor(model_file=P.path(queries.PIECES))
+    got = tokencount.count_tokens(docs, P.path(queries.PIECES), new_path(spark, "test-cache"), 1)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(((i, len(t or ""), len(library.encode(t or "")), len(library.encode(t or "")) > 1) for i, t in rows), key=str)
+
+
 def test_counts_of_a_json_tokenizer():
     path = P.path("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
@@ -106,6 +115,27 @@ def test_token_files(spark):
     assert [r[1] for r in got] == np.cumsum([0, *[r[2] for r in got]])[:-1].tolist()
     want = sorted(((r[0], len(ids[id(r)]), zlib.crc32(np.array(ids[id(r)], "<u4").tobytes())) for r in rows), key=str)
     assert sorted(((a, n, c) for a, _, n, c in got), key=str) == want
+    # access, count and occurrence from the files
+    order = {start: r for r, start in ((r, r[1]) for r in got)}
+    every: list[int] = []
+    left = [r for r in rows]
+    for start in sorted(order):
+        doc, _, n, crc = order[start]
+        row = next(r for r in left if r[0] == doc and len(ids[id(r)]) == n and zlib.crc32(np.array(ids[id(r)], "<u4").tobytes()) == crc)
+        left.remove(row)
+        every += ids[id(row)]
+    every = np.array(every)
+    for at in (0, 1, len(every) // 2, len(every) - 1):
+        assert wavelet.access(spark, path, at) == every[at]
+    with pytest.raises(IndexError):
+        wavelet.access(spark, path, len(every))
+    for token in (2, int(every[5]), 48_000_000):
+        places = np.flatnonzero(every == token)
+        assert wavelet.count(spark, path, token) == len(places)
+        assert wavelet.count(spark, path, token, 10, 4_000) == ((places >= 10) & (places < 4_000)).sum()
+        for k in {0, len(places) - 1} if len(places) else ():
+            assert wavelet.occurrence(spark, path, token, int(k)) == places[k]
+        assert wavelet.occurrence(spark, path, token, len(places)) == -1
     empty = new_path(spark, "test-tokens")
     wavelet.write_blocks(docs.limit(0), P.path(queries.WORDS), empty)
     assert wavelet.read_documents(spark, empty).count() == 0
