@@ -196,10 +196,14 @@ def sign_vector(word: str, size: int) -> np.ndarray:
 
 
 def _sign_rows(words: list[str]) -> np.ndarray:
+    """Even numbers of variance 1 from the word's hash."""
+    seed = np.fromiter((zlib.crc32(w.encode()) for w in words), np.uint64, len(words))
     out = np.empty((len(words), WORD_DIM), np.float32)
-    for i, w in enumerate(words):
-        out[i] = np.random.default_rng(zlib.crc32(w.encode())).standard_normal(WORD_DIM)
-    return out
+    for k in range(WORD_DIM):
+        x = (seed + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out[:, k] = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+    return (out - 0.5) * np.sqrt(12)
 
 
 _words = TokenTable(_sign_rows, WORD_DIM)
