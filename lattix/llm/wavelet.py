@@ -27,12 +27,13 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import strings, text_slices, worker_slot
+from .common import text_slices, worker_slot
 
 BLOCK_SCHEMA = "shard int, block int, n_docs long, n_tokens long, doc_ids binary, known_ids binary, lengths binary, matrix binary"
 SPAN = 512
@@ -163,16 +164,17 @@ class WaveletMatrix:
 
 
 class WordEncoder:
-    """Ids of texts by a ``tokenizers`` file, each word through the library once.
+    """Ids of texts by a ``tokenizers`` file, each distinct word of a batch looked up once.
 
-    A word of letters in one case with at most a full stop or comma behind it is the
-    word's ids and the sign's. Words of letters go through the library many at a time;
-    the tokens that end a word part their ids again. Any other word goes by itself.
+    Arrow splits a batch into words and numbers the distinct ones. A word of letters with
+    at most a full stop or comma behind it is the ids of its lower case and the sign's.
+    Words of letters go through the library many at a time; the tokens that end a word
+    part their ids again. Any other word goes by itself.
     """
 
     SIGNS = ("", ".", ",")
 
-    def __init__(self, path: str, most_words: int = 300_000, most_bases: int = 900_000):
+    def __init__(self, path: str, most_bases: int = 900_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -181,24 +183,19 @@ class WordEncoder:
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.most_words, self.most_bases = most_words, most_bases
+        self.most_bases = most_bases
         self.sign_ids = [self._alone([x])[0] if x else [] for x in self.SIGNS]
-        self.words, self.word_ids = _Numbers(), _Pool()
-        self.bases, self.base_ids = {}, _Pool()
+        self.bases: dict[str, int] = {}
+        self.base_ids = _Pool()
 
     def _alone(self, words: list[str]) -> list[list[int]]:
         return [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _part(self, word: str) -> tuple[str, int]:
-        """The base of a word and the number of the sign behind it."""
-        sign = 1 if word[-1:] == "." else 2 if word[-1:] == "," else 0
-        base = (word[:-1] if sign else word).lower()
-        return (base, sign) if base.isalpha() and "\u03a3" not in word else (word, 0)
-
-    def _add_bases(self, words: list[str]) -> None:
+    def _places(self, keys: list[str]) -> np.ndarray:
+        """The number of every key; keys not seen before are encoded."""
         if len(self.bases) > self.most_bases:
             self.bases, self.base_ids = {}, _Pool()
-        new = [w for w in dict.fromkeys(words) if w not in self.bases]
+        new = [w for w in keys if w not in self.bases]
         plain = [w for w in new if w.isalpha() and w == w.lower()]
         rest = [w for w in new if not (w.isalpha() and w == w.lower())]
         for k in range(0, len(plain), 1_000):
@@ -212,29 +209,36 @@ class WordEncoder:
         for k in range(0, len(rest), 1_000):
             lists = self._alone(rest[k : k + 1_000])
             self._keep(rest[k : k + 1_000], np.fromiter(chain.from_iterable(lists), np.uint32, sum(map(len, lists))), np.fromiter(map(len, lists), np.int64, len(lists)))
+        return np.fromiter(map(self.bases.__getitem__, keys), np.int64, len(keys))
 
     def _keep(self, words: list[str], ids: np.ndarray, lengths: np.ndarray) -> None:
         self.bases.update(zip(words, range(len(self.bases), len(self.bases) + len(words)), strict=True))
         self.base_ids.add(ids, lengths)
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after another, and the count of each."""
-        if len(self.words) > self.most_words:
-            self.words, self.word_ids = _Numbers(), _Pool()
-        get = self.words.__getitem__
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        counts = np.fromiter(map(len, split), np.int64, len(split))
-        at = np.fromiter(map(get, chain.from_iterable(split)), np.int64, int(counts.sum()))
-        if new := self.words.take():
-            bases, signs = zip(*map(self._part, new), strict=True)
-            self._add_bases(bases)
-            sign = np.array(signs)
-            ids, length = self.base_ids.gather(np.fromiter(map(self.bases.__getitem__, bases), np.int64, len(bases)))
-            extra = np.array([len(x) for x in self.sign_ids])[sign]
-            ends = np.cumsum(length)
-            whole = np.insert(ids, np.repeat(ends, extra), [i for s in sign[extra > 0] for i in self.sign_ids[s]]) if extra.any() else ids
-            self.word_ids.add(whole, length + extra)
-        ids, length = self.word_ids.gather(at)
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and the count of each; null counts as empty."""
+        whole = pc.fill_null(texts.cast(pa.large_string()), "")
+        for white in "\n\t\r":
+            whole = pc.replace_substring(whole, white, " ")
+        split = pc.split_pattern(whole, " ")
+        counts = np.asarray(pc.list_value_length(split)).astype(np.int64)
+        numbered = split.flatten().dictionary_encode()
+        word = numbered.dictionary
+        stop, comma = (np.asarray(pc.ends_with(word, x)) for x in self.SIGNS[1:])
+        base = pc.if_else(pa.array(stop | comma), pc.utf8_slice_codeunits(word, 0, -1), word)
+        # case that depends on the context, or that takes more than one character, is left to the library
+        odd = pc.or_(pc.match_substring(base, "\u03a3"), pc.match_substring(base, "\u0130"))
+        plain = pc.and_not(pc.utf8_is_alpha(base), odd)
+        keys = pc.if_else(plain, pc.utf8_lower(base), word).dictionary_encode()
+        place = self._places(keys.dictionary.to_pylist())[np.asarray(keys.indices)]
+        sign = np.where(np.asarray(plain), stop + 2 * comma, 0)
+        ids, length = self.base_ids.gather(place)
+        extra = np.array([len(x) for x in self.sign_ids])[sign]
+        if extra.any():
+            ids = np.insert(ids, np.repeat(np.cumsum(length), extra), [i for s in sign[extra > 0].tolist() for i in self.sign_ids[s]])
+        own = _Pool()
+        own.add(ids, length + extra)
+        ids, length = own.gather(np.asarray(numbered.indices))
         ends = np.concatenate([[0], np.cumsum(length)])[np.cumsum(counts)]
         return ids, np.diff(ends, prepend=0)
 
@@ -264,21 +268,6 @@ class _Pool:
         return self.ids[places + np.arange(len(places))], length
 
 
-class _Numbers(dict):
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
-
-    def __missing__(self, word: str) -> int:
-        self[word] = place = len(self)
-        self.new.append(word)
-        return place
-
-    def take(self) -> list[str]:
-        new, self.new = self.new, []
-        return new
-
-
 def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int = 2, block_tokens: int = 1_000_000, shard_rows: int = 8_000) -> None:
     """Encode and write all documents. ``shard_rows`` sets how many shards there are, not how long one may be."""
     rows = docs.count()
@@ -302,8 +291,8 @@ def write_blocks(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=["shard", "block", "n_docs", "n_tokens", "doc_ids", "known_ids", "lengths", "matrix"])
 
         held = 0
-        for batch in text_slices(batches, "text", 2 << 20):
-            got, count = encoder.encode(strings(batch.column("text")))
+        for batch in text_slices(batches, "text", 4 << 20):
+            got, count = encoder.encode(batch.column("text"))
             ends = np.cumsum(count)
             with_end = np.full(len(got) + len(count), end_id, np.uint32)
             keep = np.ones(len(with_end), bool)

@@ -6,6 +6,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -95,12 +96,12 @@ def noise(seed, n):
 
 
 def test_words_are_encoded_as_whole_texts():
-    texts = TEXTS[:-1] + [noise(k, 60) for k in range(80)]
+    texts = TEXTS[:-1] + [noise(k, 60) for k in range(80)] + ["İstanbul ΣΊΣΥΦΟΣ. ΟΔΟΣ, Ǆ ǅ ŉ ẞ. ß, Å E\u0301a. ﬁ, ª º. Ⅷ, x²."]
     library = Tokenizer.from_file(P.path(queries.WORDS))
     want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
-    e = wavelet.WordEncoder(P.path(queries.WORDS), most_words=50, most_bases=80)  # small tables, so they empty
+    e = wavelet.WordEncoder(P.path(queries.WORDS), most_bases=80)  # a small table, so it empties
     for _ in range(2):
-        ids, counts = e.encode(texts)
+        ids, counts = e.encode(pa.array(texts))
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for x in want for i in x]
 
 
