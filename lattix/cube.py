@@ -33,6 +33,8 @@ class Cube:
         self.df, self.ref, self.bands = df, ref, tuple(bands)
         self.plan = plan
         self.reduced = reduced  # "time" or "space" once an axis was reduced
+        #: makes a source's cube anew for a cropped reference and its first cell's indices (it, iy, ix)
+        self.remake: Callable[[CubeRef, tuple[int, int, int]], Cube] | None = None
 
     @property
     def spark(self) -> SparkSession:

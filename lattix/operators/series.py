@@ -82,14 +82,15 @@ def fill_time(cube: Cube, method: str) -> Cube:
         raise ValueError(f"unknown method {method!r}")
     dense = dense_rows(cube)
     back = SERIES.rowsBetween(W.unboundedPreceding, 0)
-    ahead = SERIES.rowsBetween(0, W.unboundedFollowing)
+    # the same backwards: a frame that only grows takes each row once
+    ahead = W.partitionBy(*PIXEL).orderBy(F.desc("it")).rowsBetween(W.unboundedPreceding, 0)
     it = F.col("it")
     out = []
     for b in cube.bands:
         v = cube.band(b)
-        before, after = F.last(v, ignorenulls=True).over(back), F.first(v, ignorenulls=True).over(ahead)
+        before, after = F.last(v, ignorenulls=True).over(back), F.last(v, ignorenulls=True).over(ahead)
         place = F.when(v.isNotNull(), it)
-        from_, to = F.last(place, ignorenulls=True).over(back), F.first(place, ignorenulls=True).over(ahead)
+        from_, to = F.last(place, ignorenulls=True).over(back), F.last(place, ignorenulls=True).over(ahead)
         if method == "locf":
             filled = before
         elif method == "nocb":

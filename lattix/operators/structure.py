@@ -38,7 +38,10 @@ def crop(cube: Cube, ix: tuple[int, int] | None, iy: tuple[int, int] | None, it:
     shifted = kept.select((F.col("it") - ct[0]).alias("it"), (F.col("iy") - cy[0]).alias("iy"), (F.col("ix") - cx[0]).alias("ix"), *cube.band_columns())
     time = r.time if ct == (0, r.nt - 1) else r.time.slice_of(*ct)
     plan = {"cube_type": "crop", "ix_min": cx[0], "ix_max": cx[1], "iy_min": cy[0], "iy_max": cy[1], "it_min": ct[0], "it_max": ct[1]}
-    return cube.derive(shifted, ref=r.crop_space(cx, cy).with_(time=time), plan=plan)
+    ref = r.crop_space(cx, cy).with_(time=time)
+    if cube.remake and all(0 <= low and high < n for (low, high), n in zip(ranges, (r.nx, r.ny, r.nt), strict=True)):
+        return cube.remake(ref, (ct[0], cy[0], cx[0])).derive_plan(cube, plan)
+    return cube.derive(shifted, ref=ref, plan=plan)
 
 
 def _half_away(x: float) -> int:
@@ -118,6 +121,8 @@ def slice_time(cube: Cube, t: int | str) -> Cube:
     at = t if isinstance(t, int) else r.time.index(parse_time(t).truncate(r.time.unit))
     if not 0 <= at < r.nt:
         raise ValueError(f"slice {t} lies outside of the cube")
+    if cube.remake:
+        return crop(cube, None, None, (at, at)).derive_plan(cube, {"cube_type": "slice_time", "t": at})
     one = cube.df.where(F.col("it") == at).select(F.lit(0).alias("it"), "iy", "ix", *cube.band_columns())
     return cube.derive(one, ref=r.with_(time=r.time.slice_of(at, at)), plan={"cube_type": "slice_time", "t": at})
 
@@ -131,6 +136,8 @@ def slice_space(cube: Cube, ix: int | None, iy: int | None, x: float | None, y:
         ix, iy = r.ix_at(x), r.iy_at(y)
     if not (0 <= ix < r.nx and 0 <= iy < r.ny):
         raise ValueError(f"pixel {ix}, {iy} lies outside of the cube")
+    if cube.remake:
+        return crop(cube, (ix, ix), (iy, iy), None).derive_plan(cube, {"cube_type": "slice_space", "ix": ix, "iy": iy})
     one = cube.df.where((F.col("ix") == ix) & (F.col("iy") == iy)).select("it", F.lit(0).alias("iy"), F.lit(0).alias("ix"), *cube.band_columns())
     return cube.derive(one, ref=r.crop_space((ix, ix), (iy, iy)), plan={"cube_type": "slice_space", "ix": ix, "iy": iy})
 

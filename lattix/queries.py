@@ -47,7 +47,7 @@ L_REF = _ref(20, 20, "1995-01", "2001-12", "P1M")
 def _events(spark: SparkSession, d: str, ref: CubeRef = E_REF, bands: tuple[str, ...] = ("value", "k")) -> Cube:
     rows = _table(spark, d, "events")
     columns = {"value": F.col("value"), "k": _k()}
-    return basic.from_cells(rows, ref, ix=F.pmod("user_id", F.lit(16)), iy=F.pmod(F.floor(F.col("user_id") / 16), F.lit(8)), it=ref.time.index_column(F.col("ts")), bands={b: columns[b] for b in bands})
+    return basic.from_cells(rows, ref, ix=F.pmod("user_id", F.lit(16)), iy=F.pmod(F.floor(F.col("user_id") / 16), F.lit(8)), t="ts", bands={b: columns[b] for b in bands})
 
 
 def _value(spark: SparkSession, d: str) -> Cube:
@@ -57,12 +57,12 @@ def _value(spark: SparkSession, d: str) -> Cube:
 def _items(spark: SparkSession, d: str, bands: tuple[str, ...] = ("quantity", "price", "discount")) -> Cube:
     rows = _table(spark, d, "lineitem")
     columns = {"quantity": "l_quantity", "price": "l_extendedprice", "discount": F.col("l_discount") * SCALE}
-    return basic.from_cells(rows, L_REF, ix=F.pmod("l_suppkey", F.lit(20)), iy=F.pmod("l_partkey", F.lit(20)), it=L_REF.time.index_column(F.col("l_shipdate")), bands={b: columns[b] for b in bands})
+    return basic.from_cells(rows, L_REF, ix=F.pmod("l_suppkey", F.lit(20)), iy=F.pmod("l_partkey", F.lit(20)), t="l_shipdate", bands={b: columns[b] for b in bands})
 
 
 def _orders(spark: SparkSession, d: str) -> Cube:
     rows = _table(spark, d, "orders")
-    return basic.from_cells(rows, L_REF, ix=F.pmod("o_custkey", F.lit(20)), iy=F.pmod(F.floor(F.col("o_custkey") / 20), F.lit(20)), it=L_REF.time.index_column(F.col("o_orderdate")), bands={"totalprice": "o_totalprice"})
+    return basic.from_cells(rows, L_REF, ix=F.pmod("o_custkey", F.lit(20)), iy=F.pmod(F.floor(F.col("o_custkey") / 20), F.lit(20)), t="o_orderdate", bands={"totalprice": "o_totalprice"})
 
 
 E = """e AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) AS it, CAST((user_id // 16) % 8 AS INT) AS iy, CAST(user_id % 16 AS INT) AS ix,
@@ -112,13 +112,15 @@ _add("empty", lambda s, d: basic.empty(s, E_REF, 1).df, "SELECT CAST(0 AS INT) A
 
 
 def _frames(s: SparkSession, d: str) -> DataFrame:
+    """Every day is a frame, and a second frame of each third day has the values of the day before it, plus 1."""
     c = _value(s, d)
-    cut = {t: c.df.where(F.col("it") == i) for i, t in ((0, "2024-01-01"), (1, "2024-01-02"), (2, "2024-01-03"))}
-    frames = [(t, f.select("iy", "ix", "value")) for t, f in cut.items()] + [("2024-01-02", cut["2024-01-03"].select("iy", "ix", (F.col("value") + 1).alias("value")))]
+    day = lambda i: f"2024-01-{i + 1:02}"
+    frames = [(day(i), c.slice_time(i).df.select("iy", "ix", "value")) for i in range(30)]
+    frames += [(day(i), c.slice_time(i - 1).df.select("iy", "ix", (F.col("value") + 1).alias("value"))) for i in range(2, 30, 3)]
     return _rounded(basic.from_frames(frames, E_REF, ["value"]))
 
 
-_add("simple_cube", _frames, f"WITH {E}, f AS (SELECT it, iy, ix, value, it AS o FROM e WHERE it < 3 UNION ALL SELECT 1, iy, ix, value + 1, 3 FROM e WHERE it = 2) SELECT it, iy, ix, round(arg_max(value, o), {DIGITS}) AS value FROM f GROUP BY it, iy, ix")
+_add("simple_cube", _frames, f"WITH {E}, f AS (SELECT it, iy, ix, value, 0 AS o FROM e UNION ALL SELECT it + 1, iy, ix, value + 1, 1 FROM e WHERE it % 3 = 1) SELECT it, iy, ix, round(arg_max(value, o), {DIGITS}) AS value FROM f GROUP BY it, iy, ix")
 
 # -- structure and cells ---------------------------------------------------------
 _add("select_bands", lambda s, d: _rounded(_items(s, d).select_bands(["price", "quantity"])), _cells_sql(L, {"price": "price", "quantity": "quantity"}, "l"))
@@ -164,20 +166,32 @@ _add("pixel_agg_count_images", lambda s, d: _rounded(_scan(s, d, "count_images")
 
 
 def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
-    c = _value(s, d).slice_time(4)
-    coarse = CubeRef.create(0, 16, 0, 8, nx=8, ny=4, srs="EPSG:3857", t0="2024-01-05", t1="2024-01-05", dt="P1D")
-    pixels = c.df.select(F.lit(1).cast("long").alias("image_id"), (F.col("ix") + 0.5).alias("x"), (8 - F.col("iy") - 0.5).alias("y"), F.lit(1.0).alias("dx"), F.lit(1.0).alias("dy"), "value")
-    images = s.range(1).select(F.lit(1).cast("long").alias("image_id"), F.lit("2024-01-05 10:00:00").cast("timestamp_ntz").alias("datetime"))
+    """Every day is an image of 16 x 8 pixels, put on cells of 2 x 2 pixels."""
+    c = _value(s, d)
+    coarse = CubeRef.create(0, 16, 0, 8, nx=8, ny=4, srs="EPSG:3857", t0="2024-01-01", t1="2024-01-30", dt="P1D")
+    pixels = c.df.select(F.col("it").cast("long").alias("image_id"), (F.col("ix") + 0.5).alias("x"), (8 - F.col("iy") - 0.5).alias("y"), F.lit(1.0).alias("dx"), F.lit(1.0).alias("dy"), "value")
+    images = s.range(30).select(F.col("id").alias("image_id"), F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).alias("datetime"))
+    if method == "mode":
+        pixels = pixels.withColumn("value", F.floor(F.col("value") / 30) * 30.0)
     return _rounded(scan(pixels, images, CubeView(coarse, method, "first"), ["value"], "EPSG:3857"))
 
 
-for _method, _expr in {"average": "avg(value)", "min": "min(value)", "max": "max(value)", "med": "median(value)", "q1": "quantile_cont(value, 0.25)", "q3": "quantile_cont(value, 0.75)", "mode": "mode(round(value, 12))"}.items():
-    if _method != "mode":
-        _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E} SELECT CAST(0 AS INT) AS it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round({_expr}, {DIGITS}) AS value FROM e WHERE it = 4 GROUP BY 2, 3")
+for _method, _expr in {"average": "avg(value)", "min": "min(value)", "max": "max(value)", "med": "median(value)", "q1": "quantile_cont(value, 0.25)", "q3": "quantile_cont(value, 0.75)"}.items():
+    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round({_expr}, {DIGITS}) AS value FROM e GROUP BY 1, 2, 3")
+# of values that are as frequent the smallest counts
+_add("resample_mode", lambda s, d: _resampled(s, d, "mode"), f"WITH {E}, n AS (SELECT it, iy // 2 AS y, ix // 2 AS x, floor(value / 30) * 30.0 AS v, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT it, CAST(y AS INT) AS iy, CAST(x AS INT) AS ix, arg_min(v, -n * 1e9 + v) AS value FROM n GROUP BY it, y, x")
 # the centre of a coarse cell is a corner of four pixels; the one to its lower right starts there
-_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {E} SELECT CAST(0 AS INT) AS it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE it = 4 AND iy % 2 = 1 AND ix % 2 = 1")
-_add("resample_bilinear", lambda s, d: _resampled(s, d, "bilinear"))
-_add("resample_cubic", lambda s, d: _resampled(s, d, "cubic"))
+_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {E} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE iy % 2 = 1 AND ix % 2 = 1")
+# a kernel's weights at a distance of q pixels from the cell's centre, at cells of two pixels
+_WEIGHT = {
+    "bilinear": (1, "greatest(0, 1 - {d})"),
+    "cubic": (2, "CASE WHEN {d} <= 1 THEN 1.5 * {d} ^ 3 - 2.5 * {d} ^ 2 + 1 WHEN {d} < 2 THEN -0.5 * {d} ^ 3 + 2.5 * {d} ^ 2 - 4 * {d} + 2 ELSE 0 END"),
+    "cubicspline": (2, "CASE WHEN {d} <= 1 THEN 2 / 3.0 - {d} ^ 2 + {d} ^ 3 / 2 WHEN {d} < 2 THEN (2 - {d}) ^ 3 / 6 ELSE 0 END"),
+    "lanczos": (3, "CASE WHEN {d} < 1e-9 THEN 1 WHEN {d} < 3 THEN 3 * sin(pi() * {d}) * sin(pi() * {d} / 3) / (pi() * {d}) ^ 2 ELSE 0 END"),
+}
+for _method, (_radius, _weight) in _WEIGHT.items():
+    _wx, _wy = (_weight.format(d=f"(abs(2 * c.{k} + 1 - e.{k} - 0.5) / 2)") for k in ("ix", "iy"))
+    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E}, c AS (SELECT y.i AS iy, x.i AS ix FROM (SELECT unnest(range(4)) AS i) y, (SELECT unnest(range(8)) AS i) x), w AS (SELECT e.it, c.iy, c.ix, e.value, ({_wx}) * ({_wy}) AS w FROM c JOIN e ON abs(2 * c.ix + 1 - e.ix - 0.5) <= {2 * _radius} AND abs(2 * c.iy + 1 - e.iy - 0.5) <= {2 * _radius}) SELECT it, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), {DIGITS}) AS value FROM w GROUP BY it, iy, ix")
 
 # -- reductions ------------------------------------------------------------------
 for _f, _sql in REDUCE.items():
@@ -226,8 +240,7 @@ def _places(s: SparkSession, d: str) -> DataFrame:
 
 _PLACES = "p AS (SELECT c_custkey AS id, (c_custkey * 7) % 180 / 10.0 - 1 AS x, (c_custkey * 13) % 100 / 10.0 - 1 AS y, DATE '2023-12-30' + CAST(c_custkey % 34 AS INT) AS t FROM customer)"
 _add("query_points", lambda s, d: _value(s, d).query_points(_places(s, d)).select("id", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, round(e.value, {DIGITS}) AS value FROM p LEFT JOIN e ON e.it = date_diff('day', DATE '2024-01-01', p.t) AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
-_add("query_timeseries", lambda s, d: _value(s, d).query_timeseries(_places(s, d).where("id % 50 = 0").select("id", "x", "y")).select("id", "it", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, CAST(t.i AS INT) AS it, round(e.value, {DIGITS}) AS value FROM (SELECT * FROM p WHERE id % 50 = 0) p CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN e ON e.it = t.i AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
-_add("query_timeseries_all", lambda s, d: _value(s, d).query_timeseries(_places(s, d).select("id", "x", "y")).select("id", "it", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, CAST(t.i AS INT) AS it, round(e.value, {DIGITS}) AS value FROM p CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN e ON e.it = t.i AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
+_add("query_timeseries", lambda s, d: _value(s, d).query_timeseries(_places(s, d).select("id", "x", "y")).select("id", "it", F.round("value", DIGITS).alias("value")), f"WITH {E}, {_PLACES} SELECT p.id, CAST(t.i AS INT) AS it, round(e.value, {DIGITS}) AS value FROM p CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN e ON e.it = t.i AND e.ix = CAST(floor(p.x) AS INT) AND e.iy = CAST(floor(8 - p.y) AS INT)")
 _BOXES = [(1, 0, 0, 4, 3), (2, 3.2, 2.1, 9.7, 6.4), (3, 10, 4, 16, 8), (4, 3.6, 3.6, 3.9, 3.9)]
 
 

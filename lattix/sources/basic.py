@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from ..crs import transform_columns
+from ..crs import same, transform_columns
 from ..cube import KEYS, Cube, cells
 from ..functions.aggregates import aggregate_column, clean
 from ..ref import CubeRef, CubeView
-from ..timeaxis import LabeledTime, parse_time
+from ..timeaxis import Duration, LabeledTime, Time, parse_time
 
 
 def _column(c: str | Column) -> Column:
@@ -20,16 +21,52 @@ def _column(c: str | Column) -> Column:
 
 
 def from_points(df: DataFrame, ref: CubeRef, *, x: str | Column, y: str | Column, t: str | Column, bands: dict[str, str | Column], func: str = "mean", srs: str | None = None) -> Cube:
-    """Cells from rows with coordinates; rows of one cell are aggregated by ``func``. Rows outside go."""
-    px, py = transform_columns(_column(x).cast("double"), _column(y).cast("double"), srs, ref.srs)
-    return from_cells(df, ref, ix=ref.ix_column(px), iy=ref.iy_column(py), it=ref.time.index_column(_column(t)), bands=bands, func=func)
+    """Cells from rows with coordinates; rows of one cell are aggregated by ``func``. Rows outside go, by their raw coordinates already in the scan."""
+    px, py = _column(x).cast("double"), _column(y).cast("double")
+    cx, cy = transform_columns(px, py, srs, ref.srs)
+    place = {"ix": ref.ix_column(cx), "iy": ref.iy_column(cy), "it": ref.time.index_column(_column(t))}
 
+    def bounds(r: CubeRef) -> Column:
+        near = time_bounds(_column(t), r)
+        if not same(srs, r.srs):
+            return near
+        return near & (_column(x) >= r.left - r.dx) & (_column(x) <= r.right + r.dx) & (_column(y) >= r.bottom - r.dy) & (_column(y) <= r.top + r.dy)
 
-def from_cells(df: DataFrame, ref: CubeRef, *, ix: str | Column, iy: str | Column, it: str | Column, bands: dict[str, str | Column], func: str = "mean") -> Cube:
-    """Cells from rows with indices; one partial aggregation before the shuffle."""
-    keyed = df.select(_column(it).cast("int").alias("it"), _column(iy).cast("int").alias("iy"), _column(ix).cast("int").alias("ix"), *[clean(_column(c)).alias(b) for b, c in bands.items()])
+    return _aggregated(df, ref, place, bands, func, bounds, (0, 0, 0))
+
+
+def from_cells(df: DataFrame, ref: CubeRef, *, ix: str | Column, iy: str | Column, it: str | Column | None = None, t: str | Column | None = None, bands: dict[str, str | Column], func: str = "mean") -> Cube:
+    """Cells from rows with indices, and a slice's index ``it`` or a time ``t`` that the scan can filter by."""
+    if (it is None) == (t is None):
+        raise ValueError("give either it or t")
+    place = {"ix": _column(ix), "iy": _column(iy), "it": ref.time.index_column(_column(t)) if it is None else _column(it)}
+    bounds = (lambda r: F.lit(True)) if t is None else (lambda r: time_bounds(_column(t), r))
+    return _aggregated(df, ref, place, bands, func, bounds, (0, 0, 0))
+
+
+def time_bounds(t: Column, ref: CubeRef) -> Column:
+    """Whether a time may lie within a reference: comparisons of the raw column, which reach file scans."""
+    if isinstance(ref.time, LabeledTime):
+        low, last = (f(ref.time.times, key=lambda x: x.value) for f in (min, max))
+    else:
+        low, last = ref.time.at(0), ref.time.at(ref.nt - 1)
+    step = ref.time.dt or Duration(1, ref.time.unit)
+    end = (Time(last.value, step.unit) + step).value
+    start = Time(low.value, ref.time.unit).truncate(ref.time.unit).value
+    return (t >= F.lit(start).cast("timestamp_ntz")) & (t < F.lit(end).cast("timestamp_ntz"))
+
+
+def _aggregated(df: DataFrame, ref: CubeRef, place: dict[str, Column], bands: dict[str, str | Column], func: str, bounds: Callable[[CubeRef], Column], low: tuple[int, int, int]) -> Cube:
+    """One partial aggregation before the shuffle. ``low`` are the indices (it, iy, ix) of the first cell.
+
+    A crop of the cube starts again from the rows, so that its bounds reach the scan too.
+    """
+    shifted = [(place[k].cast("int") - F.lit(n)).alias(k) if n else place[k].cast("int").alias(k) for k, n in zip(KEYS, low, strict=True)]
+    keyed = df.where(bounds(ref)).select(*shifted, *[clean(_column(c)).alias(b) for b, c in bands.items()])
     inside = keyed.where(F.col("ix").between(0, ref.nx - 1) & F.col("iy").between(0, ref.ny - 1) & F.col("it").between(0, ref.nt - 1))
-    return Cube(inside.groupBy(*KEYS).agg(*[aggregate_column(func, F.col(f"`{b}`")).alias(b) for b in bands]), ref, list(bands))
+    cube = Cube(inside.groupBy(*KEYS).agg(*[aggregate_column(func, F.col(f"`{b}`")).alias(b) for b in bands]), ref, list(bands))
+    cube.remake = lambda r, first: _aggregated(df, r, place, bands, func, bounds, tuple(a + b for a, b in zip(low, first, strict=True)))
+    return cube
 
 
 def _grid(spark: SparkSession, ref: CubeRef) -> DataFrame:

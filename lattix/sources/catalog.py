@@ -18,12 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..crs import transform_bounds
+from ..crs import transform_arrays, transform_bounds
 from ..cube import KEYS, Cube
 from ..functions.aggregates import aggregate_column, clean
 from ..operators.pixel import RangeMask, ValueMask, mask_condition
 from ..ref import CubeRef, CubeView
 from ..timeaxis import Duration, RegularTime, Time, Unit, parse_time
+from .basic import time_bounds
 from .geotiff import read as read_tiff
 from .presets import PRESETS
 from .resample import resample
@@ -271,9 +272,12 @@ class ImageCollection:
         return CubeView(ref, "near", "first")
 
     # -- scanning --------------------------------------------------------------
-    def read_pixels(self, bands: list[str]) -> DataFrame:
+    def read_pixels(self, bands: list[str], srs: str | None = None) -> DataFrame:
         """``image_id, x, y, dx, dy, srs`` and bands of all pixels of the referred GeoTIFF files.
 
+        With ``srs`` each file's coordinates are transformed from its own system as it is
+        read, so files may lie in several; one in an unknown system raises.
+
         Each file is read by one task; the driver only lists the files that are referred to.
         """
         spark = self.refs.sparkSession
@@ -289,12 +293,18 @@ class ImageCollection:
                     t = read_tiff(content.as_py())
                     count, height, width = t.values.shape
                     x = t.left + (np.arange(width) + 0.5) * t.dx
+                    system = srs or t.srs
                     for b in range(count):
                         for row in range(0, height, 256):
                             block = t.values[b, row : row + 256].astype(float)
                             n = block.size
                             y = t.top - (np.arange(row, row + len(block)) + 0.5) * t.dy
-                            columns = [pa.array([path] * n), pa.array(np.full(n, b + 1, np.int32)), pa.array(np.tile(x, len(block))), pa.array(np.repeat(y, width)), pa.array(np.full(n, t.dx)), pa.array(np.full(n, t.dy)), pa.array([t.srs] * n), pa.array([t.nodata] * n, pa.float64()), pa.array(block.ravel())]
+                            px, py = np.tile(x, len(block)), np.repeat(y, width)
+                            # a turned pixel counts as the box around it, so that no cell is left out
+                            corners = [transform_arrays(px + i * t.dx / 2, py + j * t.dy / 2, t.srs, system) for i in (-1, 1) for j in (-1, 1)]
+                            wide, high = (np.ptp([c[k] for c in corners], axis=0) for k in (0, 1))
+                            px, py = transform_arrays(px, py, t.srs, system)
+                            columns = [pa.array([path] * n), pa.array(np.full(n, b + 1, np.int32)), pa.array(px), pa.array(py), pa.array(wide), pa.array(high), pa.array([system] * n), pa.array([t.nodata] * n, pa.float64()), pa.array(block.ravel())]
                             yield pa.RecordBatch.from_arrays(columns, names=["descriptor", "band_num", "x", "y", "dx", "dy", "srs", "own_nodata", "v"])
 
         if not paths:
@@ -320,10 +330,11 @@ class ImageCollection:
             raise ValueError(f"unknown aggregation {view.aggregation!r}")
         names = bands or [b["name"] for b in self.bands.orderBy("id").collect()]
         read = [*names, *([mask_band] if mask is not None and mask_band not in names else [])]
-        srs = self.distinct_srs() or r.srs
+        srs = r.srs
         if pixels is None:
-            pixels = self.read_pixels(read)
-            srs = r.srs if pixels.isEmpty() else pixels.select("srs").first()[0]
+            pixels = self.read_pixels(read, r.srs)
+        else:
+            srs = self.distinct_srs() or r.srs
         for c in ("dx", "dy"):
             if c not in pixels.columns:
                 pixels = pixels.withColumn(c, F.lit(None).cast("double"))
@@ -349,7 +360,7 @@ def scan(pixels: DataFrame, images: DataFrame, view: CubeView, bands: list[str],
     r = view.ref
     read = [*bands, *([mask_band] if mask is not None and mask_band not in bands else [])]
     it = r.time.index_column(F.col("datetime"))
-    timed = pixels.join(images.select("image_id", it.alias("it")).where(F.col("it").between(0, r.nt - 1)), "image_id")
+    timed = pixels.join(images.where(time_bounds(F.col("datetime"), r)).select("image_id", it.alias("it")).where(F.col("it").between(0, r.nt - 1)), "image_id")
     timed = timed.select("image_id", "it", "x", "y", "dx", "dy", *[clean(F.col(f"`{b}`")).alias(b) for b in read])
     if mask is not None:
         masked = mask_condition(F.col(f"`{mask_band}`"), mask)

@@ -1,4 +1,4 @@
-"""Plain GeoTIFF: strips, without or with deflate compression, read and written with numpy."""
+"""GeoTIFF with numpy: strips and tiles, plain, deflate and LZW, with predictors, are read; strips are written."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ import numpy as np
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 8: 2, 9: 4, 11: 4, 12: 8, 16: 8}
 LETTERS = {1: "B", 2: "s", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 16: "Q"}
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIPS, SAMPLES, ROWS, BYTES, PLANAR, SAMPLE_FORMAT, SCALE, TIEPOINT, GEO_KEYS, NODATA = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 339, 33550, 33922, 34735, 42113
-TILES = 322
+PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_BYTES = 317, 322, 323, 324, 325
 
 
 @dataclass
@@ -28,6 +28,51 @@ class Raster:
     nodata: float | None = None
 
 
+def lzw(data: bytes) -> bytes:
+    """Codes of 9 to 12 bits, highest bit first; 256 starts the table anew, 257 ends. Codes widen one early."""
+    single = [bytes([i]) for i in range(256)] + [b"", b""]
+    table, out, before = list(single), [], b""
+    held = have = at = 0
+    width = 9
+    while True:
+        while have < width:
+            if at == len(data):
+                return b"".join(out)
+            held, have, at = (held << 8 | data[at]) & 0xFFFFFF, have + 8, at + 1
+        have -= width
+        code = held >> have & (1 << width) - 1
+        if code == 257:
+            return b"".join(out)
+        if code == 256:
+            table, width, before = list(single), 9, b""
+            continue
+        if code > len(table):
+            raise ValueError("damaged LZW data")
+        entry = table[code] if code < len(table) else before + before[:1]
+        out.append(entry)
+        if before:
+            table.append(before + entry[:1])
+        before = entry
+        width = 9 if len(table) < 511 else 10 if len(table) < 1023 else 11 if len(table) < 2047 else 12
+
+
+UNPACK = {1: bytes, 5: lzw, 8: zlib.decompress, 32946: zlib.decompress}
+
+
+def _samples(raw: bytes, dtype: np.dtype, rows: int, width: int, deep: int, predictor: int) -> np.ndarray:
+    """A block's values (y, x, sample) with its predictor undone: differences of neighbours (2), or of the bytes of floats by weight (3)."""
+    if predictor == 3:
+        size = dtype.itemsize
+        planes = np.frombuffer(raw, np.uint8, rows * width * deep * size).reshape(rows, -1, deep)
+        summed = np.cumsum(planes, axis=1, dtype=np.uint8).reshape(rows, size, width * deep)
+        return np.ascontiguousarray(summed.transpose(0, 2, 1)).view(dtype.newbyteorder(">")).reshape(rows, width, deep)
+    values = np.frombuffer(raw, dtype, rows * width * deep).reshape(rows, width, deep)
+    if predictor == 2:
+        whole = values.astype(dtype.newbyteorder("="))
+        return np.cumsum(whole, axis=1, dtype=whole.dtype)
+    return values
+
+
 def read(data: bytes) -> Raster:
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
@@ -42,18 +87,29 @@ def read(data: bytes) -> Raster:
         if SIZES[kind] * n > 4:
             place = struct.unpack_from(f"{order}I", data, place)[0]
         tags[tag] = struct.unpack_from(f"{order}{n}{LETTERS[kind]}" if kind != 2 else f"{n}s", data, place)
-    if TILES in tags:
-        raise NotImplementedError("tiled files are not supported")
     width, height, samples = tags[WIDTH][0], tags[HEIGHT][0], tags.get(SAMPLES, (1,))[0]
     bits, form = tags.get(BITS, (1,))[0], tags.get(SAMPLE_FORMAT, (1,))[0]
+    if bits % 8:
+        raise NotImplementedError(f"samples of {bits} bits are not supported")
     dtype = np.dtype(f"{order}{ {1: 'u', 2: 'i', 3: 'f'}[form] }{bits // 8}")
     packed = tags.get(COMPRESSION, (1,))[0]
-    if packed not in (1, 8, 32946):
+    if packed not in UNPACK:
         raise NotImplementedError(f"compression {packed} is not supported")
-    parts = [data[a : a + n] for a, n in zip(tags[STRIPS], tags[BYTES], strict=True)]
-    raw = b"".join(zlib.decompress(p) if packed != 1 else p for p in parts)
-    flat = np.frombuffer(raw, dtype, width * height * samples)
-    values = flat.reshape(samples, height, width) if tags.get(PLANAR, (1,))[0] == 2 else flat.reshape(height, width, samples).transpose(2, 0, 1)
+    apart = tags.get(PLANAR, (1,))[0] == 2
+    tiled = TILE_WIDTH in tags
+    bw, bh = (tags[TILE_WIDTH][0], tags[TILE_HEIGHT][0]) if tiled else (width, min(height, tags.get(ROWS, (height,))[0]))
+    across, down, layers, deep = -(-width // bw), -(-height // bh), samples if apart else 1, 1 if apart else samples
+    values = np.empty((samples, height, width), dtype.newbyteorder("="))
+    blocks = zip(tags[TILE_OFFSETS if tiled else STRIPS], tags[TILE_BYTES if tiled else BYTES], strict=True)
+    for k, (offset, size) in enumerate(blocks):
+        layer, place = divmod(k, across * down)
+        if layer >= layers:
+            break
+        y, x = place // across * bh, place % across * bw
+        rows = bh if tiled else min(bh, height - y)
+        block = _samples(UNPACK[packed](data[offset : offset + size]), dtype, rows, bw, deep, tags.get(PREDICTOR, (1,))[0])
+        shown = block[: height - y, : width - x].transpose(2, 0, 1)
+        values[layer : layer + 1 if apart else samples, y : y + shown.shape[1], x : x + shown.shape[2]] = shown
     dx, dy = tags.get(SCALE, (1.0, 1.0))[:2]
     tie = tags.get(TIEPOINT, (0, 0, 0, 0.0, 0.0, 0))
     keys = tags.get(GEO_KEYS, ())

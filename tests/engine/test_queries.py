@@ -52,8 +52,14 @@ def test_plans_push_down_and_shuffle_once(spark):
     def plan(df):
         return df._jdf.queryExecution().executedPlan().toString()
 
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
     p = plan(queries.QUERIES["reduce_time_mean"](spark, DATA))
     assert "partial_avg" in p and "ReadSchema: struct<l_partkey:bigint,l_suppkey:bigint,l_discount:double,l_shipdate:timestamp_ntz>" in p
+    assert "GreaterThanOrEqual(l_shipdate,1995-01-01T00:00" in p and "LessThan(l_shipdate,2002-01-01T00:00" in p
+    c = plan(queries.QUERIES["crop_index"](spark, DATA))  # a crop narrows the scan
+    assert "GreaterThanOrEqual(ts,2024-01-04T00:00" in c and "LessThan(ts,2024-01-14T00:00" in c
+    assert "GreaterThanOrEqual(ts,2024-01-10T00:00" in plan(queries.QUERIES["slice_time"](spark, DATA))
+    assert "GreaterThanOrEqual(ts,2024-01-01T00:00" in plan(queries.QUERIES["pixel_agg_mean"](spark, DATA))
     w = plan(queries._value(spark, DATA).fill_time("linear").df)
     assert w.count("Exchange hashpartitioning(iy") == 1
     z = plan(queries.QUERIES["zonal_statistics"](spark, DATA))
@@ -61,5 +67,5 @@ def test_plans_push_down_and_shuffle_once(spark):
 
 
 def test_time_series_of_all_places(spark):
-    ids = queries.QUERIES["query_timeseries_all"](spark, DATA).select("id").distinct().count()
+    ids = queries.QUERIES["query_timeseries"](spark, DATA).select("id").distinct().count()
     assert ids == spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").distinct().count()

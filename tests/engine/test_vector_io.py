@@ -73,7 +73,7 @@ def test_points(spark):
     degrees = spark.createDataFrame([(1, 2.5 / 111319.49079327358, 1.5 / 111319.49079327358, "2018-01-01")], "id int, x double, y double, t string")
     assert cube(spark).query_points(degrees, "EPSG:4326").first()["v"] == 22.0
     with pytest.raises(NotImplementedError):
-        cube(spark).query_points(degrees, "EPSG:32632").collect()
+        cube(spark).query_points(degrees, "EPSG:2154").collect()
 
 
 def test_zonal_and_extract(spark):
