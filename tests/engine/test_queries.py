@@ -8,7 +8,7 @@ import sys
 import duckdb
 import pytest
 
-from lattix import queries
+from lattix import queries, queries_io  # noqa: F401
 
 DATA = "/root/testdata/sf0.001"
 
