@@ -2,6 +2,10 @@
 
 Each stage is a function of (spark, docs, sf_dir). All but the last return rows of
 ``docs`` as they are; the last returns doc_id, n_tokens, ids_sha256 and decoded_sha256.
+
+Null and empty texts go at the first stage (they have no letter). Null ids stay. Repeated
+rows are near-duplicates of each other: one stays. Very long texts are read whole, an
+empty table passes through, and columns other than doc_id and text are not looked at.
 """
 
 from __future__ import annotations
