@@ -24,7 +24,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 DIGITS = 6
-SCALE = 0.7310585  # two-digit values would often lie on a rounding edge
+SCALE = 0.7310585786  # two-digit values would often lie on a rounding edge
 
 
 def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -71,7 +71,7 @@ E = """e AS (SELECT CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) A
 EH = """eh AS (SELECT CAST(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS INT) AS it, CAST((user_id // 16) % 8 AS INT) AS iy, CAST(user_id % 16 AS INT) AS ix, avg(value) AS value
   FROM events WHERE ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-31' GROUP BY 1, 2, 3)"""
 L = """l AS (SELECT CAST((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS INT) AS it, CAST(l_partkey % 20 AS INT) AS iy, CAST(l_suppkey % 20 AS INT) AS ix,
-  avg(l_quantity) AS quantity, avg(l_extendedprice) AS price, avg(l_discount * 0.7310585) AS discount
+  avg(l_quantity) AS quantity, avg(l_extendedprice) AS price, avg(l_discount * 0.7310585786) AS discount
   FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1, 2, 3)"""
 O = """o AS (SELECT CAST((year(o_orderdate) - 1995) * 12 + month(o_orderdate) - 1 AS INT) AS it, CAST((o_custkey // 20) % 20 AS INT) AS iy, CAST(o_custkey % 20 AS INT) AS ix, avg(o_totalprice) AS totalprice
   FROM orders WHERE year(o_orderdate) BETWEEN 1995 AND 2001 GROUP BY 1, 2, 3)"""
@@ -171,17 +171,17 @@ def _resampled(s: SparkSession, d: str, method: str) -> DataFrame:
     coarse = CubeRef.create(0, 16, 0, 8, nx=8, ny=4, srs="EPSG:3857", t0="2024-01-01", t1="2024-01-30", dt="P1D")
     pixels = c.df.select(F.col("it").cast("long").alias("image_id"), (F.col("ix") + 0.5).alias("x"), (8 - F.col("iy") - 0.5).alias("y"), F.lit(1.0).alias("dx"), F.lit(1.0).alias("dy"), "value")
     images = s.range(30).select(F.col("id").alias("image_id"), F.timestamp_add("DAY", F.col("id").cast("int"), F.lit("2024-01-01 10:00:00").cast("timestamp_ntz")).alias("datetime"))
-    if method == "mode":
-        pixels = pixels.withColumn("value", F.floor(F.col("value") / 30) * 30.0)
+    pixels = pixels.withColumn("value", F.floor(F.col("value") / 30) * 30.0 if method == "mode" else F.col("value") * SCALE)
     return _rounded(scan(pixels, images, CubeView(coarse, method, "first"), ["value"], "EPSG:3857"))
 
 
+ER = E.replace("avg(value) AS value", "avg(value) * 0.7310585786 AS value")
 for _method, _expr in {"average": "avg(value)", "min": "min(value)", "max": "max(value)", "med": "median(value)", "q1": "quantile_cont(value, 0.25)", "q3": "quantile_cont(value, 0.75)"}.items():
-    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round({_expr}, {DIGITS}) AS value FROM e GROUP BY 1, 2, 3")
+    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {ER} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round({_expr}, {DIGITS}) AS value FROM e GROUP BY 1, 2, 3")
 # of values that are as frequent the smallest counts
 _add("resample_mode", lambda s, d: _resampled(s, d, "mode"), f"WITH {E}, n AS (SELECT it, iy // 2 AS y, ix // 2 AS x, floor(value / 30) * 30.0 AS v, count(*) AS n FROM e WHERE value IS NOT NULL GROUP BY 1, 2, 3, 4) SELECT it, CAST(y AS INT) AS iy, CAST(x AS INT) AS ix, arg_min(v, -n * 1e9 + v) AS value FROM n GROUP BY it, y, x")
 # the centre of a coarse cell is a corner of four pixels; the one to its lower right starts there
-_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {E} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE iy % 2 = 1 AND ix % 2 = 1")
+_add("resample_near", lambda s, d: _resampled(s, d, "near"), f"WITH {ER} SELECT it, CAST(iy // 2 AS INT) AS iy, CAST(ix // 2 AS INT) AS ix, round(value, {DIGITS}) AS value FROM e WHERE iy % 2 = 1 AND ix % 2 = 1")
 # a kernel's weights at a distance of q pixels from the cell's centre, at cells of two pixels
 _WEIGHT = {
     "bilinear": (1, "greatest(0, 1 - {d})"),
@@ -191,7 +191,7 @@ _WEIGHT = {
 }
 for _method, (_radius, _weight) in _WEIGHT.items():
     _wx, _wy = (_weight.format(d=f"(abs(2 * c.{k} + 1 - e.{k} - 0.5) / 2)") for k in ("ix", "iy"))
-    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {E}, c AS (SELECT y.i AS iy, x.i AS ix FROM (SELECT unnest(range(4)) AS i) y, (SELECT unnest(range(8)) AS i) x), w AS (SELECT e.it, c.iy, c.ix, e.value, ({_wx}) * ({_wy}) AS w FROM c JOIN e ON abs(2 * c.ix + 1 - e.ix - 0.5) <= {2 * _radius} AND abs(2 * c.iy + 1 - e.iy - 0.5) <= {2 * _radius}) SELECT it, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), {DIGITS}) AS value FROM w GROUP BY it, iy, ix")
+    _add(f"resample_{_method}", lambda s, d, m=_method: _resampled(s, d, m), f"WITH {ER}, c AS (SELECT y.i AS iy, x.i AS ix FROM (SELECT unnest(range(4)) AS i) y, (SELECT unnest(range(8)) AS i) x), w AS (SELECT e.it, c.iy, c.ix, e.value, ({_wx}) * ({_wy}) AS w FROM c JOIN e ON abs(2 * c.ix + 1 - e.ix - 0.5) <= {2 * _radius} AND abs(2 * c.iy + 1 - e.iy - 0.5) <= {2 * _radius}) SELECT it, CAST(iy AS INT) AS iy, CAST(ix AS INT) AS ix, round(sum(value * w) / sum(CASE WHEN value IS NOT NULL THEN w END), {DIGITS}) AS value FROM w GROUP BY it, iy, ix")
 
 # -- reductions ------------------------------------------------------------------
 for _f, _sql in REDUCE.items():
@@ -254,11 +254,11 @@ _IN = "e.ix + 0.5 >= b.x0 AND e.ix + 0.5 < b.x1 AND 8 - e.iy - 0.5 >= b.y0 AND 8
 _add("extract", lambda s, d: _value(s, d).extract(_features(s)).select("fid", *KEYS, F.round("value", DIGITS).alias("value")), f"WITH {E}, {_BOX} SELECT CAST(b.fid AS BIGINT) AS fid, e.it, e.iy, e.ix, round(e.value, {DIGITS}) AS value FROM b JOIN e ON {_IN}")
 _add("extract_time", lambda s, d: _value(s, d).extract(_features(s), "t").select("fid", *KEYS, F.round("value", DIGITS).alias("value")), f"WITH {E}, {_BOX} SELECT CAST(b.fid AS BIGINT) AS fid, e.it, e.iy, e.ix, round(e.value, {DIGITS}) AS value FROM b JOIN e ON {_IN} AND e.it = b.fid * 5 - 1")
 _ZONAL = {"count": "CAST(count(value) AS DOUBLE)", "sum": "sum(value)", "mean": "avg(value)", "min": "min(value)", "max": "max(value)", "median": "median(value)", "var": "CASE WHEN count(value) > 1 THEN var_pop(value) END", "sd": "CASE WHEN count(value) > 1 THEN stddev_pop(value) END", "prod": "product(1 + value / 1000)"}
-_add("zonal_statistics", lambda s, d: _zonal(s, d), f"WITH {E}, {_BOX} SELECT CAST(f.fid AS BIGINT) AS fid, CAST(t.i AS INT) AS it, {', '.join((f'coalesce(z.v_{k}, 0)' if k == 'count' else f'round(z.v_{k}, {DIGITS})') + f' AS value_{k}' if k != 'prod' else f'round(z.v_prod, {DIGITS}) AS unit_prod' for k in _ZONAL)} FROM b f CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN (SELECT b.fid, e.it, {', '.join(f'{v} AS v_{k}' for k, v in _ZONAL.items())} FROM b JOIN e ON {_IN} GROUP BY b.fid, e.it) z ON z.fid = f.fid AND z.it = t.i")
+_add("zonal_statistics", lambda s, d: _zonal(s, d), f"WITH {ER}, {_BOX} SELECT CAST(f.fid AS BIGINT) AS fid, CAST(t.i AS INT) AS it, {', '.join((f'coalesce(z.v_{k}, 0)' if k == 'count' else f'round(z.v_{k}, {DIGITS})') + f' AS value_{k}' if k != 'prod' else f'round(z.v_prod, {DIGITS}) AS unit_prod' for k in _ZONAL)} FROM b f CROSS JOIN (SELECT unnest(range(30)) AS i) t LEFT JOIN (SELECT b.fid, e.it, {', '.join(f'{v} AS v_{k}' for k, v in _ZONAL.items())} FROM b JOIN e ON {_IN} GROUP BY b.fid, e.it) z ON z.fid = f.fid AND z.it = t.i")
 
 
 def _zonal(s: SparkSession, d: str) -> DataFrame:
-    cube = _value(s, d).apply_pixel("1 + value / 1000", ["unit"], True)
+    cube = _value(s, d).apply_pixel(f"value * {SCALE}", ["value"]).apply_pixel("1 + value / 1000", ["unit"], True)
     spec = [(f, "value" if f != "prod" else "unit") for f in _ZONAL]
     out = cube.zonal_statistics(_features(s), spec)
     return out.select("fid", "it", *[F.round(F.col(f"{b}_{f}"), DIGITS).alias(f"{b}_{f}") for f, b in spec])

@@ -107,6 +107,10 @@ _CALLS = {
     "log10": ("log10(q)", "log10(q)"),
     "pow": ("pow(q, 1.5)", "pow(q, 1.5)"),
     "sqrt": ("sqrt(q)", "sqrt(q)"),
+    "min": ("min(q, 25)", "least(q, 25)"),
+    "max": ("max(q, 25)", "greatest(q, 25)"),
+    "fac": ("fac(floor(q / 10))", "CAST(factorial(CAST(floor(q / 10) AS INT)) AS DOUBLE)"),
+    "ncr": ("ncr(10, floor(q / 10))", "factorial(10) / (factorial(CAST(floor(q / 10) AS INT)) * factorial(10 - CAST(floor(q / 10) AS INT))::DOUBLE)"),
     "constants": ("pi * q + e", "pi() * q + exp(1)"),
     "test": ("isnan(q) + isfinite(q) * 2", "CAST(2 AS DOUBLE)"),
     "logic": ("iif(q > 10 && q <= 30 || !(q < 45), q % 7, -q)", "CASE WHEN q > 10 AND q <= 30 OR NOT q < 45 THEN q % 7 ELSE -q END"),
