@@ -209,8 +209,12 @@ def train(samples: dict[str, list[str]], letters: int = 30_000) -> LanguageModel
 
 
 def learn(docs: DataFrame, learn_where: Column, docs_each: int = 60, letters: int = 30_000, languages: int = LANGUAGES) -> LanguageModel:
-    """Train on at most ``docs_each`` documents and ``letters`` letters of each of the ``languages`` most frequent languages."""
-    rows = bounded_sample(docs.where(learn_where).where("text is not null").select("doc_id", "lang", "text"), "lang", "doc_id", docs_each, most_strata=languages)
+    """Train on at most ``docs_each`` documents and ``letters`` letters of each of the ``languages`` most frequent languages.
+
+    Of a document's text, ``4 * letters`` characters come to the driver, which looks for its letters there.
+    """
+    texts = docs.where(learn_where).where("text is not null").select("doc_id", "lang", F.substring("text", 1, 4 * letters).alias("text"))
+    rows = bounded_sample(texts, "lang", "doc_id", docs_each, most_strata=languages)
     samples: dict[str, list[str]] = {}
     for r in rows:
         samples.setdefault(r["lang"], []).append(r["text"])

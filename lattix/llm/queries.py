@@ -19,8 +19,8 @@ def language_model(spark: SparkSession, sf_dir: str) -> langid.LanguageModel:
 
 
 def toxicity_model(spark: SparkSession, sf_dir: str) -> toxicity.ToxicityModel | None:
-    """From at most 500 toxic and 1,000 other labelled documents."""
-    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", id_bucket("doc_id", 3) != 1, {0: 1_000, 1: 500}, 4)
+    """From at most 500 toxic and 1,000 other labelled documents, of 5 million characters a class."""
+    sample = labelled_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "toxic", id_bucket("doc_id", 3) != 1, {0: 1_000, 1: 500}, 4, toxicity.MOST_CHARS)
     return toxicity.train(sample)
 
 

@@ -74,6 +74,7 @@ def windows(word: str) -> list[str]:
 
 ALPHABET = 4_096  # codes of characters: 0 is padding and what training didn't have
 SLICE = 2 << 20  # bytes of text at a time
+MOST_CHARS = 5_000_000  # of either class to train on; training takes some 30 MB of memory a million
 SPREAD = 0x9E3779B97F4A7C15
 PATTERNS = [(0, *mid) for mid in combinations(range(1, SPAN), ORDER - 1)]
 
@@ -245,11 +246,12 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
     stems, so that inflected forms of a stem find each other.
     """
     labels = [y for _, y in sample]
-    bags: list[tuple[int, set[str]]] = []
+    bags: list[set[str]] = []
     counts = (Counter(), Counter())
     plain: Counter = Counter()
-    seen: set[tuple[int, str, str]] = set()
-    for doc, (text, label) in enumerate(sample):
+    seen: set[int] = set()  # 64-bit hashes of (label, string, the word before)
+    cut: dict[str, list[str]] = {}  # each word's windows, so that equal strings are one object
+    for text, label in sample:
         own: set[str] = set()
         for sentence in SENTENCE.split(text):
             found = []
@@ -257,15 +259,18 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
             for s in spans(sentence):
                 word = clean(s)
                 if len(word) > 1:
-                    for w in windows(word):
+                    if word not in cut:
+                        cut[word] = windows(word)
+                    for w in cut[word]:
                         found.append(w)
                         # a string after the same word counts once, so copies of a document don't add up
-                        if (key := (label, w, before)) not in seen:
+                        if (key := hash((label, w, before))) not in seen:
                             seen.add(key)
                             counts[label].update({w, *(w[:k] for k in STEMS if k < len(w))})
                 before = word
             if found:
-                bags.append((doc, set(found)))
+                if label:
+                    bags.append(set(found))
                 own.update(found)
         if not label:
             plain.update(own)
@@ -278,11 +283,10 @@ def witnesses(sample: list[tuple[str, int]], least: float) -> tuple[list[tuple[s
         return known[s]
 
     out = []
-    for doc, found in bags:
-        if labels[doc]:
-            top = max((max(odds(s) for s in (w, *(w[:k] for k in STEMS if k < len(w)))), w) for w in found)
-            if top[0] > least:
-                out.append((top[1], found))
+    for found in bags:
+        top = max((max(odds(s) for s in (w, *(w[:k] for k in STEMS if k < len(w)))), w) for w in found)
+        if top[0] > least:
+            out.append((top[1], found))
     return out, plain
 
 

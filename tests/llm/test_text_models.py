@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 
 from lattix.llm import html_extract, langid, quality, queries, toxicity
-from lattix.llm.common import TokenTable, bounded_sample, id_bucket, text_bytes, text_slices
+from lattix.llm.common import TokenTable, bounded_sample, id_bucket, labelled_sample, text_bytes, text_slices, within
 
 DATA = "/root/testdata/sf0.01"
 ODD = [(1, None, "en"), (2, "", None), (3, "   \n\n ", "en"), (4, "12345 !!! ###", "en"), (5, "x", None), (5, "x", "en"), (None, "the and of", "en"), (6, "ж" * 50, "en"), (7, "wo rd " * 30_000, "en"), (8, "à ­​ é", "fr"), (9, "\n".join(["line"] * 5000), "en")]
@@ -107,6 +107,59 @@ def test_bounded_sample(spark):
     assert bounded_sample(df.limit(0), "k", "doc_id", 5) == []
 
 
+def test_labelled_sample_is_bounded_in_characters(spark):
+    docs = spark.sql("select id as doc_id, rpad(concat('t', id), cast(if(id < 40, 50, 20000 + id) as int), ' words') as text from range(100)")
+    labels = spark.sql("select id as doc_id, cast(id % 2 as int) as toxic from range(100)")
+    every = {r["text"]: r["doc_id"] % 2 for r in docs.collect()}
+
+    def sample(most_chars):
+        return labelled_sample(docs, labels, "toxic", labels.doc_id >= 0, {0: 100, 1: 100}, 4, most_chars)
+
+    assert sample(None) == sample(10_000_000) == sorted(every.items())
+    some = sample(65_000)
+    toxic, clean = ([t for t, y in some if y == label] for label in (1, 0))
+    assert all(every[t] == 1 for t in toxic)
+    lengths = sorted(map(len, toxic))
+    assert lengths[:20] == [50] * 20 and len(lengths) == 23 and sum(lengths) <= 65_000
+    # the clean ones: a part of each
+    parts = [p for t in clean for p in t.split("\n")]
+    assert len(parts) == 50 and sum(map(len, parts)) <= 65_000 and min(map(len, parts)) == 50 and max(map(len, parts)) > 2_000
+    assert {p.split()[0] for p in parts} == {t.split()[0] for t, y in every.items() if not y}
+    assert abs(len(clean) - len(toxic)) <= 2
+
+
+def test_sample_of_texts_beyond_the_bound():
+    assert within([(0, 0, 1, 1), (0, 90, 2, 1), (1, 10, 3, 4), (1, 20, 4, 1)], 40) == [(0, 0, 1, 0), (0, 90, 2, 40), (1, 10, 3, 10)]
+    assert within([(0, 10, 1, 2), (0, 90, 2, 2), (1, 50, 3, 4)], 80) == [(0, 10, 1, 10), (0, 90, 2, 30), (1, 50, 3, 20)]
+    assert within([], 40) == []
+
+
+def test_toxicity_of_tables_of_long_texts(spark, tmp_path, monkeypatch):
+    """The texts for training are bounded in all, and every text is still scored whole."""
+    filler = "the river ran past the quiet mill and nobody spoke of it again. "
+    names = ["".join(random.Random(i).choices("bdfglmnrst", k=6)) for i in range(120)]
+    rows = [(i, filler * (40 + i) + (f"{names[i]} blockhead {names[i]}. " if i % 2 else f"{names[i]} came. ") + filler * 40) for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    seen = []
+    train = toxicity.train
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 100_000)
+    monkeypatch.setattr(toxicity, "train", lambda sample: seen.append(sample) or train(sample))
+    got = queries.op4_toxicity(spark, str(tmp_path)).collect()
+    assert 0 < sum(len(t) for t, _ in seen[0]) <= 200_000
+    assert {y for _, y in seen[0]} == {0, 1}
+    assert len(got) == 120 and all(r["predicted"] == r["doc_id"] % 2 for r in got)
+
+
+def test_languages_learn_from_the_start_of_long_texts(spark, monkeypatch):
+    docs = spark.sql("select id as doc_id, 'en' as lang, repeat('some words ', 5000) as text from range(5)")
+    seen = []
+    train = langid.train
+    monkeypatch.setattr(langid, "train", lambda samples, letters: seen.append(samples) or train(samples, letters))
+    langid.learn(docs, docs.doc_id >= 0, letters=500)
+    assert [len(t) for t in seen[0]["en"]] == [2_000] * 5
+
+
 def test_slices_keep_rows():
     batch = pa.RecordBatch.from_pydict({"text": ["x" * n for n in (5, 0, 50, 1, 1)] + [None]})
     parts = list(text_slices([batch], "text", 10))
