@@ -37,6 +37,7 @@ SCHEMAS = {
     "band_md": "band_id long, key string, value string",
     "collection_md": "key string, value string",
 }
+STEPS = 10  # of the search for a name's range: 2 ** STEPS ranges
 BYTES = {"int16": 2, "uint16": 2, "int32": 4, "uint32": 4, "uint8": 1, "float32": 4, "float64": 8}
 ORDERS = ("images.name", "images.datetime", "bands.name", "refs.descriptor", "images.id")
 AGGREGATIONS = ("none", "min", "max", "mean", "median", "first", "last", "count_images", "count_values")
@@ -84,6 +85,22 @@ def archive_path(path: str) -> str:
     return path
 
 
+def numbered(names: DataFrame) -> DataFrame:
+    """Each different ``name`` with its place in their order as ``id``, from 1; no task gets all names.
+
+    Pivots, the names of smallest hash, cut the order into ranges. A name's place is that
+    in its range, behind the counts of the ranges before.
+    """
+    different = names.distinct()
+    pivots = different.orderBy(F.xxhash64("name"), "name").limit(2**STEPS - 1).agg(F.sort_array(F.collect_list("name"))).scalar()
+    steps = F.array(*[F.lit(2**k) for k in reversed(range(STEPS))])
+    search = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get("_pivots", at + step - 1) <= F.col("name"), at + step).otherwise(at))
+    dealt = different.select("name", pivots.alias("_pivots")).select("name", search.alias("_range"))
+    # a row a range
+    counts = dealt.groupBy("_range").count()
+    before = counts.select("_range", (F.sum("count").over(W.orderBy("_range")) - F.col("count")).alias("_before"))
+    placed = dealt.withColumn("_at", F.row_number().over(W.partitionBy("_range").orderBy("name"))).join(F.broadcast(before), "_range", "left")
+    return placed.groupBy("name").agg(F.min(F.col("_before") + F.col("_at")).alias("id"))
 
 
 @dataclass(frozen=True)
@@ -139,12 +156,13 @@ class ImageCollection:
             rows = rows.withColumn("_b", F.explode("_bands")).withColumn("datetime", F.timestamp_add(dt.unit.name, (F.col("_b.band_num") - 1) * dt.count, F.col("datetime")))
             rows = rows.withColumn("name", F.concat("name", F.lit("_"), F.date_format("datetime", "yyyy-MM-dd'T'HH:mm:ss"))).withColumn("_bands", F.array("_b"))
         grouped = rows.groupBy("name").agg(F.min("left").alias("left"), F.max("top").alias("top"), F.min("bottom").alias("bottom"), F.max("right").alias("right"), F.min("datetime").alias("datetime"), F.min("proj").alias("proj"))
-        images = grouped.select(F.row_number().over(W.orderBy("name")).cast("long").alias("id"), "name", "left", "top", "bottom", "right", "datetime", "proj")
-        # one catalog row a file, not a pixel: numbering by name is a sort of names
-        spread = rows.withColumn("_b", F.explode("_bands")).join(images.select("id", "name"), "name")
+        numbers = numbered(rows.select("name"))
+        # every name has a number; by a left join Spark leaves the numbering out where ids aren't asked for
+        images = grouped.join(numbers, "name", "left").select("id", "name", "left", "top", "bottom", "right", "datetime", "proj")
+        spread = rows.withColumn("_b", F.explode("_bands")).join(numbers, "name")
         refs = spread.groupBy(F.col("id").alias("image_id"), F.col("_b.band_id").alias("band_id")).agg(F.min(F.struct("descriptor", F.col("_b.band_num").alias("band_num"))).alias("r")).select("image_id", "band_id", "r.descriptor", "r.band_num")
         wanted = rules.get("image_md_fields")
-        md = rows.join(images.select("id", "name"), "name").select(F.col("id").alias("image_id"), F.explode("metadata").alias("key", "value")).distinct()
+        md = rows.join(numbers, "name").select(F.col("id").alias("image_id"), F.explode("metadata").alias("key", "value")).distinct()
         if wanted:
             md = md.where(F.col("key").isin(*wanted, *[w.split(":", 1)[-1] for w in wanted]))
         empty = {k: spark.createDataFrame([], SCHEMAS[k]) for k in ("band_md", "collection_md")}
@@ -191,7 +209,7 @@ class ImageCollection:
         if not names:
             raise ValueError("no band is named")
         bands = self.bands.where(F.col("name").isin(*names))
-        own = bands.select(F.col("id").alias("band_id"))
+        own = F.broadcast(bands.select(F.col("id").alias("band_id")))  # few, and a shuffle by band would send all files to as many tasks
         return replace(self, bands=bands, refs=self.refs.join(own, "band_id", "left_semi"), band_md=self.band_md.join(own, "band_id", "left_semi"))
 
     def _with_images(self, images: DataFrame) -> ImageCollection:
