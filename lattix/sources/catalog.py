@@ -230,7 +230,7 @@ class ImageCollection:
         box = transform_bounds((left, right, bottom, top), srs, "EPSG:4326")
         low, high = parse_time(start).value, parse_time(end).value
         images = self.images.where(_touches(*box) & F.col("datetime").between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz"))).alias("images")
-        some = (self.bands.where(F.col("name").isin(*bands)) if bands else self.bands).alias("bands")
+        some = F.broadcast(self.bands.where(F.col("name").isin(*bands)) if bands else self.bands).alias("bands")
         refs = self.refs.alias("refs")
         joined = refs.join(images, F.col("refs.image_id") == F.col("images.id")).join(some, F.col("refs.band_id") == F.col("bands.id"))
         if order_by:
@@ -299,7 +299,7 @@ class ImageCollection:
         Each file is read by one task; the driver only lists the files that are referred to.
         """
         spark = self.refs.sparkSession
-        named = self.refs.join(self.bands.where(F.col("name").isin(*bands)).select(F.col("id").alias("band_id"), "name", "nodata"), "band_id")
+        named = self.refs.join(F.broadcast(self.bands.where(F.col("name").isin(*bands)).select(F.col("id").alias("band_id"), "name", "nodata")), "band_id")
         paths = [r[0] for r in named.select("descriptor").distinct().collect()]
         kind = "descriptor string, band_num int, x double, y double, dx double, dy double, srs string, own_nodata double, v double"
 

@@ -55,3 +55,13 @@ def test_names_are_not_numbered_where_ids_are_not_asked_for(spark):
 
 def test_filter_of_bands_does_not_shuffle_by_band(spark):
     assert "hashpartitioning(band_id" not in plan(collection(spark, 50).filter_bands(["B02"]).refs)
+
+
+@pytest.mark.parametrize("bands", [None, ["B01"]])
+def test_find_range_does_not_shuffle_by_band(spark, bands):
+    files = [(f"/data/S_2024010{k}_{k}_B0{b}.tif", 0.0, 1.0, 1.0, 0.0) for k in (3, 1, 2) for b in (1, 2)]
+    found = ImageCollection.create(spark.createDataFrame(files, "descriptor string, left double, right double, top double, bottom double"), RULES).find_range(0, 1, 0, 1, "2024-01-02", "2024-01-03", bands=bands, order_by=["images.name"])
+    text = plan(found)
+    assert "hashpartitioning(band_id" not in text and not re.search(r"windowspecdefinition\(name", text)
+    assert [(r["image_id"], r["band_name"]) for r in found.collect() if r["band_name"] == "B01"] == [(2, "B01"), (3, "B01")]
+    assert found.count() == (2 if bands else 4)
